@@ -14,7 +14,12 @@ SHARDS = 24
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Bytes of an Arrow batch to a Python worker; rows here are texts, and several batches are in memory at once.
+BATCH_BYTES = "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -274,4 +274,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     page_id revisit a page of the same payload that has one, else they are responses. An
     empty table gives no rows; other columns aren't read.
     """
-    return payloads(reassemble(read_archives(write_archives(with_roles(pages)))))
+    records = materialize(read_archives(write_archives(with_roles(pages))), "warc-records")  # read once, used twice
+    return payloads(reassemble(records))
