@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from docsift.llm.tokens import END_ID, Encoder, slices
+from docsift.llm.tokens import END_ID, encoder, slices
 
 TIERS = (256, 512, 1024, 2048)
 #: Ids packed together; what doesn't fill a window is carried into the next block.
@@ -162,7 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, tiers: Sequence[int] = TIERS
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        encoder, packer = Encoder(tokenizer), Packer(tiers)
+        own, packer = encoder(tokenizer), Packer(tiers)
         sequence = group = held = 0
         done: list[list[Piece]] = []
 
@@ -183,7 +183,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, tiers: Sequence[int] = TIERS
                 yield _batch(rows[at : at + 2000])
 
         for some in slices(batches):
-            texts = encoder.encode(some.column("text").to_pylist())
+            texts = own.encode(some.column("text").to_pylist())
             for doc, ids in zip(some.column("doc_id").to_pylist(), texts, strict=True):
                 done += packer.add(doc, ids + end)
                 held += len(ids) // 4 + 1

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import string
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,10 @@ from docsift.llm.shared import materialize, new_path, open_fs
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words kept per worker before the cache starts anew; about 100 MB.
-CACHED_WORDS = 300_000
+#: Words kept per worker before the cache starts anew; about 150 MB.
+CACHED_WORDS = 500_000
+#: ASCII punctuation.
+PUNCTUATION = string.punctuation
 #: Rows and characters encoded at a time.
 SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
 #: Sequences per record batch of a file.
@@ -30,8 +35,9 @@ BATCH_SEQUENCES = 256
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, by the tokenizers library.
 
-    The tokenizer drops white space and never joins across a space, so a text's ids are the
-    ids of its space-separated words one after another; each word is encoded once and kept.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of
+    its words one after another; each word is encoded once and kept. A word of letters with
+    ASCII punctuation behind is two pieces to the tokenizer, which are kept apart.
     """
 
     def __init__(self, path: str):
@@ -43,47 +49,61 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        self._reset()
+
+    def _reset(self) -> None:
         self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        """Plain letter words go through the tokenizer in one text, cut again where words end."""
-        plain: dict[str, list[tuple[str, str]]] = {}
+    def _learn(self, missing: Iterable[str]) -> None:
+        split: list[tuple[str, str, str]] = []
+        heads: set[str] = set()
         for w in missing:
-            head, tail = (w[:-1], w[-1]) if w[-1] in ".,!;:?" else (w, "")
-            if head.isascii() and head.isalpha():
-                plain.setdefault(head.lower(), []).append((w, tail))
-            else:
+            head = w.rstrip(PUNCTUATION)
+            if not (head.isalpha() and is_normalized("NFC", head)):
                 self.words[w] = self._ids(w)
-        heads = list(plain)
+                continue
+            key = head.lower() if head.isascii() else head
+            split.append((w, key, w[len(head) :]))
+            if key not in self.pieces:
+                heads.add(key)
+        self._learn_heads(list(heads))
+        for w, key, tail in split:
+            if tail not in self.pieces:
+                self.pieces[tail] = self._ids(tail)
+            self.words[w] = self.pieces[key] + self.pieces[tail]
+
+    def _learn_heads(self, heads: list[str]) -> None:
+        """Runs of letters go through the tokenizer in one text, cut again where words end."""
         for at in range(0, len(heads), 4096):
             some = heads[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):  # not a vocabulary that marks word ends
-                pieces = [self._ids(w) for w in some]
-            else:
-                pieces = [x.tobytes() for x in np.split(ids, cuts[:-1])]
-            for head, piece in zip(some, pieces, strict=True):
-                for w, tail in plain[head]:
-                    self.words[w] = piece + self._tail(tail) if tail else piece
-
-    def _tail(self, tail: str) -> bytes:
-        if tail not in self.words:
-            self.words[tail] = self._ids(tail)
-        return self.words[tail]
+            if len(cuts) == len(some):  # one end for each, as every run gives at least one
+                data, bounds = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                self.pieces.update((w, data[a:b]) for w, a, b in zip(some, bounds, bounds[1:], strict=False))
+            else:  # lower-casing split a run, or the vocabulary marks no ends
+                self.pieces.update((w, self._ids(w)) for w in some)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [(t or "").split(" ") for t in texts]
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > CACHED_WORDS:
-            self.words = {"": b""}
-        known = self.words
-        missing = {w for words in split for w in words if w not in known}
+            self._reset()
+        missing = set().union(*split) - self.words.keys()
         if missing:
-            self._learn(list(missing))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            self._learn(missing)
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, so that its words serve later tasks too."""
+    return Encoder(path)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -200,12 +220,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE,
     end = np.array([END_ID], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        dtype = "<u2" if encoder.tokenizer.get_vocab_size() <= 2**16 else "<u4"
+        own = encoder(tokenizer)
+        dtype = "<u2" if own.tokenizer.get_vocab_size() <= 2**16 else "<u4"
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for some in slices(batches):
-                ids = encoder.encode(some.column("text").to_pylist())
+                ids = own.encode(some.column("text").to_pylist())
                 yield from zip(some.column("doc_id").to_pylist(), (x + end for x in ids), strict=True)
 
         number = TaskContext.get().partitionId()
