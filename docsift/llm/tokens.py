@@ -106,13 +106,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches of at most SLICE_ROWS rows and about SLICE_CHARS bytes; a longer text stands alone."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE_ROWS rows and about ``limit`` bytes; a longer text stands alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, size in enumerate(sizes):
-            if i > start and (i - start >= SLICE_ROWS or total + size > SLICE_CHARS):
+            if i > start and (i - start >= SLICE_ROWS or total + size > limit):
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += int(size)

@@ -17,7 +17,7 @@ from docsift.llm.tokens import slices
 WINDOW, STRIDE = 128, 96
 BUCKETS, WIDTH, HIDDEN = 1 << 14, 8, 8
 #: Labelled rows that the network is fitted on: at most so many toxic ones and so many others.
-FIT_TOXIC, FIT_CLEAN = 1500, 2000
+FIT_TOXIC, FIT_CLEAN = 1500, 2500
 #: Windows of one labelled row that an epoch uses, drawn anew each epoch.
 FIT_WINDOWS = 12
 EPOCHS, BATCH, RATE, SEED = 5, 128, 0.01, 20240229
@@ -225,6 +225,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
             counts = np.array([len(t) for _, t in words])
             np.add.at(g["chars"], np.concatenate([t for _, t in words]), np.repeat(dx[:, WIDTH:] / counts[:, None], counts, 0))
             turn += 1
+            slower = 1 - (epoch + at / len(items)) / epochs  # the rate falls to nothing by the end
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             for k, v in g.items():
                 v = v * min(1.0, 1.0 / (norm + 1e-9))
@@ -233,7 +234,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
                 m2 += 0.01 * (v * v - m2)
                 if k in ("words", "chars"):
                     net.p[k] *= 1 - DECAY
-                net.p[k] -= (RATE * (m1 / (1 - 0.9**turn)) / (np.sqrt(m2 / (1 - 0.99**turn)) + 1e-6)).astype("f4")
+                net.p[k] -= (RATE * slower * (m1 / (1 - 0.9**turn)) / (np.sqrt(m2 / (1 - 0.99**turn)) + 1e-6)).astype("f4")
     return net
 
 
