@@ -22,8 +22,8 @@ from docsift.llm.shared import materialize, new_path, open_fs
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words kept per worker before the cache starts anew; about 150 MB.
-CACHED_WORDS = 500_000
+#: Words kept per worker before the cache starts anew; about 250 MB.
+CACHED_WORDS = 800_000
 #: ASCII punctuation.
 PUNCTUATION = string.punctuation
 #: Rows and characters encoded at a time.
@@ -49,8 +49,22 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        self.letters = self._for_letters()
         self._reset()
 
+    def _for_letters(self):
+        """The same model without the patterns that leave runs of letters, apart by spaces, as they are."""
+        from tokenizers import Tokenizer
+
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"]
+        known = [x["type"] for x in parts["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] if (parts["normalizer"] or {}).get("type") == "Sequence" else False
+        if not known or before["type"] != "Sequence" or [x["type"] for x in before["pretokenizers"]] != ["Split", "ByteLevel"]:
+            return self.tokenizer
+        parts["normalizer"] = {"type": "Lowercase"}
+        before["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        return Tokenizer.from_str(json.dumps(parts))
+
     def _reset(self) -> None:
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {"": b""}
@@ -59,28 +73,39 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, missing: Iterable[str]) -> None:
-        split: list[tuple[str, str, str]] = []
+        split: list[tuple[str, str]] = []
+        pieces, words = self.pieces, self.words
         heads: set[str] = set()
         for w in missing:
             head = w.rstrip(PUNCTUATION)
-            if not (head.isalpha() and is_normalized("NFC", head)):
-                self.words[w] = self._ids(w)
+            if not head.isalpha():
+                words[w] = self._ids(w)
                 continue
-            key = head.lower() if head.isascii() else head
-            split.append((w, key, w[len(head) :]))
-            if key not in self.pieces:
+            if head.isascii():
+                key = head.lower()
+            elif is_normalized("NFC", head):
+                key = head
+            else:
+                words[w] = self._ids(w)
+                continue
+            split.append((w, key))
+            if key not in pieces:
                 heads.add(key)
         self._learn_heads(list(heads))
-        for w, key, tail in split:
-            if tail not in self.pieces:
-                self.pieces[tail] = self._ids(tail)
-            self.words[w] = self.pieces[key] + self.pieces[tail]
+        for w, key in split:
+            if len(w) == len(key):
+                words[w] = pieces[key]
+                continue
+            tail = w[len(key) :]
+            if tail not in pieces:
+                pieces[tail] = self._ids(tail)
+            words[w] = pieces[key] + pieces[tail]
 
     def _learn_heads(self, heads: list[str]) -> None:
         """Runs of letters go through the tokenizer in one text, cut again where words end."""
         for at in range(0, len(heads), 4096):
             some = heads[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            found = self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
             ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):  # one end for each, as every run gives at least one
@@ -89,8 +114,19 @@ class Encoder:
             else:  # lower-casing split a run, or the vocabulary marks no ends
                 self.pieces.update((w, self._ids(w)) for w in some)
 
+    def _plain(self, text: str) -> str:
+        """The text with the tokenizer's own white-space and case folding done where that is certain to be the same."""
+        text = text.replace("\n", " ")
+        if self.letters is self.tokenizer or "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [self._plain(t or "").split(" ") for t in texts]
         if len(self.words) > CACHED_WORDS:
             self._reset()
         missing = set().union(*split) - self.words.keys()
