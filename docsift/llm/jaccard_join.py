@@ -336,3 +336,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(of_doc, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: a row of its least doc_id.
+
+    Rows with a null doc_id stay. Columns and their order are those of docs.
+    """
+    found = jaccard_components(docs).where("component_id = doc_id")
+    kept = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "jaccard-kept")
+    out = docs.where("doc_id IS NOT NULL").join(kept.select("doc_id"), "doc_id", "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

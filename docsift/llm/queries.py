@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import jaccard_join, main_text, packing, sharding, tokens, toxicity, urls, warc
+from docsift.llm import jaccard_join, main_text, media, packing, sharding, tiling, tokens, toxicity, urls, warc
 
 SHARDS = 24
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,9 +67,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_lossless_webp": op2_lossless_webp,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op9_main_text": op9_main_text,

@@ -1,0 +1,59 @@
+from docsift.llm.urls import judge_urls
+
+SCHEMA = "page_id long, url string, html string, host string"
+
+
+def judged(spark, rows, **more):
+    found = judge_urls(spark.createDataFrame([(*r, None, None)[:4] for r in rows], SCHEMA), **more)
+    return {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found.collect()}
+
+
+def test_rules_and_parts(spark):
+    got = judged(spark, [
+        (1, "https://A.Example.COM/en/5?x#y"), (2, "http://example.com/en/7x"), (3, "http://x.net/de/1"),
+        (4, "http://www.example.net/de/8/9"), (5, "http://notexample.net/de/8"), (6, "x://org/es/"), (7, "http://com"),
+        (8, None), (9, "no scheme/en/"), (10, "http://h?q/en/"), (11, "http://É.com/EN/"), (12, "://com/en/"),
+    ])
+    assert got[1] == ("a.example.com", "/en/5", "com/en/", "block")
+    assert got[2] == ("example.com", "/en/7x", "example.com/en/7", "allow")
+    assert got[3] == ("x.net", "/de/1", "net/de/", "allow")
+    assert got[4] == ("www.example.net", "/de/8/9", "example.net/de/8", "block")
+    assert got[5] == ("notexample.net", "/de/8", "net/de/", "allow")
+    assert got[6] == ("org", "/es/", "org/es/", "block")
+    assert got[7] == ("com", "", None, "allow")
+    assert got[8] == got[9] == ("", "", None, "allow")
+    assert got[10] == ("h", "", None, "allow")
+    assert got[11] == ("É.com", "/EN/", None, "allow")
+    assert got[12] == ("com", "/en/", "com/en/", "block")
+
+
+def test_aliases_take_blocks_and_explicit_allow_goes_first(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    refresh = "<META http-equiv=Refresh content='0; url={}'>".format
+    got = judged(spark, [
+        (1, "http://a.info/1", link("http://b.info/2")),
+        (2, "http://b.info/2#part", refresh("http://evil.com/en/x")),
+        (3, "http://c.info/", link("http://d.info/?a=1&amp;b=2")),
+        (4, "http://d.info/?a=1&b=2", refresh("http://evil.com/en/y") + link("http://example.com/en/7")),
+        (5, "http://e.info/", "<link rel=stylesheet href=http://evil.com/en/x>"),
+        (6, "http://example.com/en/7", refresh("http://evil.com/en/x")),
+        (7, "http://f.info/a", link("/b")), (8, "http://f.info/b", None), (9, "http://a.info/1", None),
+    ])
+    # 1, 2, 9 and 6 are aliases of the blocked url, but 6 is allowed by a rule of its own, which goes first
+    assert all(got[k][3] == "allow" for k in range(1, 10))
+    assert got[6][2] == "example.com/en/7" and got[1][2] is None
+
+
+def test_block_spreads_without_allow(spark):
+    chain = [(k, f"http://n{k}.info/", f'<link rel="canonical" href="http://n{k + 1}.info/">') for k in range(30)]
+    got = judged(spark, [*chain, (30, "http://n30.info/", '<meta http-equiv="refresh" content="5;URL=http://x.org/es/1">'), (31, "http://n3.info/#f", None), (32, "http://other.info/", None)])
+    assert all(got[k][2:] == (None, "block") for k in range(32))
+    assert got[32][3] == "allow"
+    allowed = judged(spark, [*chain, (40, "http://n7.info/", '<link rel=canonical href="http://x.net/de/1">'), (30, "http://n30.info/", '<meta http-equiv="refresh" content="5;URL=http://x.org/es/1">')])
+    assert all(allowed[k][3] == "allow" for k in range(31))
+
+
+def test_empty_table_and_given_redirects(spark):
+    assert judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
+    redirects = spark.createDataFrame([("http://a.info/", "http://b.org/es/"), (None, "x")], "a string, b string")
+    assert judged(spark, [(1, "http://a.info/", None)], redirects=redirects)[1][3] == "block"
