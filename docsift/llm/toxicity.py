@@ -335,3 +335,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("held_out"), "text").mapInArrow(
         run, "doc_id long, held_out boolean, score double, predicted int"
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that the network, fitted as in ``score_toxicity``, scores at 0.5 or more.
+
+    Every column is kept and nothing is shuffled.
+    """
+    net = fit(*labelled_sample(docs, labels))
+    if net is None:
+        return docs
+    weights = docs.sparkSession.sparkContext.broadcast(net.p)  # about 1 MB, whatever the input
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Network(p=weights.value))
+        for some in slices(batches):
+            yield some.filter(pa.array(scorer.score(some.column("text").to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
