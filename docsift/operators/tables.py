@@ -1,0 +1,282 @@
+"""Lines, column bands, clustered and ruled tables from positioned tokens.
+
+A page's tokens are one array in one row: lines and clusters depend on the order of reading,
+and a page is small. Pages are spread over tasks; nothing is shuffled after the tokens meet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed values.
+LINE_OVERLAP, WIDE, CELL_OVERLAP, REGION_SHARE = 0.4, 0.45, 0.30, 0.5
+MAX_COLUMNS, MIN_RULES, TOLERANCE = 24, 3, 5.0
+
+Token = dict  # text, x1, y1, x2, y2
+Box = tuple[float, float, float, float]
+TOKENS = "array<struct<tok:bigint,text:string,x1:double,y1:double,x2:double,y2:double>>"
+TABLE = (
+    "cells array<struct<row:int,col:int,row_span:int,col_span:int,text:string>>, n_rows int, n_cols int, raw_text string, "
+    "strategy string, warnings array<string>"
+)
+
+
+class NoTable(Exception):
+    """A strategy can't make a table of this page; the message tells why."""
+
+
+def in_lines(tokens: list[Token], least: float = LINE_OVERLAP) -> list[list[Token]]:
+    """Lines in reading order: a token joins the first line whose last token overlaps it enough in height."""
+    lines: list[list[Token]] = []
+    for t in sorted(tokens, key=lambda t: (t["y1"], t["x1"])):
+        for line in lines:
+            last = line[-1]
+            common = min(last["y2"], t["y2"]) - max(last["y1"], t["y1"])
+            smaller = min(last["y2"] - last["y1"], t["y2"] - t["y1"])
+            if common > 0 and smaller > 0 and common / smaller >= least:
+                line.append(t)
+                break
+        else:
+            lines.append([t])
+    for line in lines:
+        line.sort(key=lambda t: t["x1"])
+    return sorted(lines, key=lambda line: min(t["y1"] for t in line))
+
+
+def joined(tokens: list[Token], between: str = " ") -> str:
+    parts = (" ".join(t["text"] for t in line if t["text"]) for line in in_lines(tokens))
+    return between.join(p for p in parts if p).strip()
+
+
+def upper_median(values: list[float]) -> float:
+    return sorted(values)[len(values) // 2]
+
+
+def bands_of(tokens: list[Token]) -> list[tuple[float, float]]:
+    """Column intervals: the x extents of tokens that aren't too wide, merged over small gaps."""
+    if not tokens:
+        return []
+    wide = WIDE * max(1.0, max(t["x2"] for t in tokens) - min(t["x1"] for t in tokens))
+    some = [t for t in tokens if t["x2"] - t["x1"] <= wide] or tokens
+    gap = max(6.0, 0.9 * upper_median([t["y2"] - t["y1"] for t in some]))
+    out: list[list[float]] = []
+    for a, b in sorted(((t["x1"], t["x2"]) for t in some), key=lambda i: i[0]):
+        if out and a <= out[-1][1] + gap:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def first_best(scores: list[float]) -> int:
+    return max(range(len(scores)), key=lambda i: (scores[i], -i))
+
+
+def clustered_band(t: Token, bands: list[tuple[float, float]]) -> int:
+    """The band with the most overlap; the first one when none is within a unit."""
+    overlaps = [min(t["x2"], b) - max(t["x1"], a) for a, b in bands]
+    k = first_best(overlaps)
+    return k if overlaps[k] > -1.0 else 0
+
+
+def ruled_band(t: Token, bands: list[tuple[float, float]]) -> int:
+    """The band with the most overlap, else the nearest one."""
+    overlaps = [min(t["x2"], b) - max(t["x1"], a) for a, b in bands]
+    k = first_best(overlaps)
+    if overlaps[k] > 0:
+        return k
+    x = (t["x1"] + t["x2"]) / 2
+    return first_best([-max(a - x, x - b, 0.0) for a, b in bands])
+
+
+def cells_of(placed: dict[tuple[int, int], list[Token]]) -> list[dict]:
+    return [{"row": r, "col": c, "row_span": 1, "col_span": 1, "text": joined(ts)} for (r, c), ts in sorted(placed.items())]
+
+
+def cluster(tokens: list[Token]) -> tuple[list[dict], int, int]:
+    """(cells, rows, columns): rows are lines, columns are bands. NoTable below two tokens or lines."""
+    if len(tokens) < 2:
+        raise NoTable(f"{len(tokens)} tokens don't make a table")
+    lines = in_lines(tokens)
+    if len(lines) < 2:
+        raise NoTable("one line doesn't make a table")
+    bands = bands_of(tokens)[:MAX_COLUMNS]
+    placed: dict[tuple[int, int], list[Token]] = {}
+    for r, line in enumerate(lines):
+        for t in line:
+            placed.setdefault((r, clustered_band(t, bands)), []).append(t)
+    return cells_of(placed), len(lines), len(bands)
+
+
+def densest_band(rules: list[float], segments: list[dict]) -> tuple[float, float] | None:
+    """The longest first run of row bands that most vertical rules cross; none if all bands are alike."""
+    if len(rules) < 2 or not segments:
+        return None
+    counts = [sum(s["y0"] <= a + TOLERANCE and s["y1"] >= b - TOLERANCE for s in segments) for a, b in zip(rules, rules[1:], strict=False)]
+    most = max(counts)
+    if most == min(counts):
+        return None
+    runs, at = [], 0
+    while at < len(counts):
+        end = at
+        while end < len(counts) and counts[end] == most:
+            end += 1
+        if end > at:
+            runs.append((end - at, -at))
+        at = max(end, at + 1)
+    size, start = max(runs)
+    return rules[-start], rules[-start + size]
+
+
+def band_columns(segments: list[dict], top: float, bottom: float) -> list[float]:
+    """x of the vertical rules that span the band without reaching far beyond it."""
+    margin = max(TOLERANCE, (bottom - top) * 0.5)
+    return sorted(s["x"] for s in segments if top - margin <= s["y0"] <= top + TOLERANCE and bottom - TOLERANCE <= s["y1"] <= bottom + margin)
+
+
+def row_of(y: float, rules: list[float]) -> int | None:
+    """The row between two rules that holds y; one more row, a usual row's height, is open below the last rule."""
+    for k, (a, b) in enumerate(zip(rules, rules[1:], strict=False)):
+        if a <= y < b:
+            return k
+    usual = upper_median([b - a for a, b in zip(rules, rules[1:], strict=False)]) if len(rules) > 1 else 0
+    return len(rules) - 1 if usual > 0 and rules[-1] <= y <= rules[-1] + usual else None
+
+
+def ruled(tokens: list[Token], rules: list[float], segments: list[dict]) -> tuple[list[dict], int, int]:
+    """(cells, rows, columns) of a table with horizontal rules; nested tables are narrowed to the densest band."""
+    if len(rules) < MIN_RULES:
+        raise NoTable(f"{len(rules)} horizontal rules, {MIN_RULES} are needed")
+    middle = lambda t: ((t["x1"] + t["x2"]) / 2, (t["y1"] + t["y2"]) / 2)
+    band = densest_band(rules, segments)
+    if band:
+        kept = [r for r in rules if band[0] - 1 <= r <= band[1] + 1]
+        inside = [t for t in tokens if band[0] <= middle(t)[1] <= band[1]]
+        if len(kept) >= MIN_RULES and inside:
+            rules, tokens = kept, inside
+    columns = band_columns(segments, rules[0], rules[-1])
+    if len(columns) >= MIN_RULES:
+        bands = list(zip(columns, columns[1:], strict=False))
+        tokens = [t for t in tokens if columns[0] - TOLERANCE <= middle(t)[0] <= columns[-1] + TOLERANCE]
+    else:
+        bands = bands_of([t for t in tokens if row_of(middle(t)[1], rules) == 0] or tokens)
+    placed: dict[tuple[int, int], list[Token]] = {}
+    for t in tokens if bands else []:
+        r = row_of(middle(t)[1], rules)
+        if r is not None:
+            placed.setdefault((r, ruled_band(t, bands)), []).append(t)
+    if not placed:
+        raise NoTable("no token lies in the rules' grid")
+    cells = cells_of(placed)
+    return cells, max(len(rules) - 1, 1 + max(c["row"] for c in cells)), max(len(bands), 1 + max(c["col"] for c in cells))
+
+
+def regional(tokens: list[Token], regions: list[dict]) -> tuple[list[dict], int, int]:
+    """Tokens put into recognised cells (row, col, spans, box) by the share of their area; at least half must fit."""
+    cells = [dict(r) for r in regions]
+    held: list[list[Token]] = [[] for _ in cells]
+    for t in tokens:
+        area = (t["x2"] - t["x1"]) * (t["y2"] - t["y1"])
+        shares = []
+        for c in cells:
+            w = min(t["x2"], c["x2"]) - max(t["x1"], c["x1"])
+            h = min(t["y2"], c["y2"]) - max(t["y1"], c["y1"])
+            shares.append(w * h / area if w > 0 and h > 0 and area > 0 else 0.0)
+        if shares and shares[k := first_best(shares)] >= CELL_OVERLAP:
+            held[k].append(t)
+    if not cells or sum(map(len, held)) < REGION_SHARE * len(tokens):
+        raise NoTable("too few tokens lie in the recognised cells")
+    out = [{**{k: c[k] for k in ("row", "col", "row_span", "col_span")}, "text": joined(ts)} for c, ts in zip(cells, held, strict=True)]
+    return out, max(c["row"] + c["row_span"] for c in out), max(c["col"] + c["col_span"] for c in out)
+
+
+def build_page(tokens: list[Token], rules: list[float] | None, segments: list[dict] | None, regions: list[dict] | None) -> dict:
+    """The table of one page by the first strategy that works: rules, recognised cells, clusters, raw text."""
+    tokens = [t | {"text": (t["text"] or "").strip()} for t in tokens if (t["text"] or "").strip()]
+    raw, warnings = joined(tokens, "\n"), []
+    steps: list[tuple[str, Callable[[], tuple[list[dict], int, int]]]] = []
+    if rules is not None:
+        steps.append(("morphology", lambda: ruled(tokens, list(rules), list(segments or []))))
+    if regions is not None:
+        steps.append(("pp_structure", lambda: regional(tokens, list(regions))))
+    steps.append(("cluster", lambda: cluster(tokens)))
+    for name, step in steps if tokens else []:
+        try:
+            cells, rows, columns = step()
+            return {"cells": cells, "n_rows": rows, "n_cols": columns, "raw_text": raw, "strategy": name, "warnings": warnings}
+        except NoTable as why:
+            warnings.append(f"{name}: {why}")
+    warnings.append("no table: the text is searched as a whole")
+    return {"cells": [], "n_rows": 0, "n_cols": 0, "raw_text": raw, "strategy": "raw_text", "warnings": warnings}
+
+
+def pack_tokens(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys and tokens: each page's tokens as one array in the order of tok, boxes normalised."""
+    low, high = (lambda a, b: F.least(a, b).cast("double")), (lambda a, b: F.greatest(a, b).cast("double"))
+    token = F.struct(F.col("tok").cast("long").alias("tok"), "text", low("x1", "x2").alias("x1"), low("y1", "y2").alias("y1"), high("x1", "x2").alias("x2"), high("y1", "y2").alias("y2"))
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+
+
+def build(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), grids: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
+    """keys and TABLE per page. df: keys, tok, text, x1, y1, x2, y2; grids and regions: see ``Extractor.from_tokens``."""
+    pages = pack_tokens(df, keys)
+    rules, segments, cells = F.lit(None).cast("array<double>"), F.lit(None).cast("array<struct<x:double,y0:double,y1:double>>"), F.lit(None).cast(
+        "array<struct<row:int,col:int,row_span:int,col_span:int,x1:double,y1:double,x2:double,y2:double>>"
+    )
+    pages = pages.join(grids.select(*keys, "rules", "segments"), list(keys), "left") if grids is not None else pages.withColumns({"rules": rules, "segments": segments})
+    pages = pages.join(regions.select(*keys, "regions"), list(keys), "left") if regions is not None else pages.withColumn("regions", cells)
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + TABLE
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = lambda x: None if x is None else [dict(v) if isinstance(v, dict) else v.asDict() if hasattr(v, "asDict") else v for v in x]
+        for pdf in batches:
+            built = [build_page(plain(t) or [], plain(r), plain(s), plain(g)) for t, r, s, g in zip(pdf["tokens"], pdf["rules"], pdf["segments"], pdf["regions"], strict=True)]
+            out = pd.DataFrame(built, columns=[c.split()[0] for c in ("cells", "n_rows", "n_cols", "raw_text", "strategy", "warnings")])
+            for k in keys:
+                out[k] = pdf[k].to_numpy()
+            yield out[[*keys, "cells", "n_rows", "n_cols", "raw_text", "strategy", "warnings"]]
+
+    return pages.mapInPandas(run, schema)
+
+
+def lines_of(df: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, ln, text: the lines of each page."""
+    built = build(df, keys)
+    return built.select(*keys, F.posexplode(F.filter(F.split("raw_text", "\n"), lambda x: x != "")).alias("ln", "text"))
+
+
+def column_bands(df: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, band, start, end by windows alone: gaps and islands over the tokens' x extents."""
+    from pyspark.sql import Window as W
+
+    page = W.partitionBy(*keys)
+    df = df.select(*keys, F.least("x1", "x2").cast("double").alias("x1"), F.greatest("x1", "x2").cast("double").alias("x2"), F.abs(F.col("y2") - F.col("y1")).cast("double").alias("h"))
+    span = F.greatest(F.lit(1.0), F.max("x2").over(page) - F.min("x1").over(page))
+    df = df.withColumn("narrow", (F.col("x2") - F.col("x1")) <= WIDE * span).withColumn("any", F.max("narrow").over(page)).where("narrow OR NOT any")
+    heights = F.array_sort(F.collect_list("h").over(page))
+    df = df.withColumn("gap", F.greatest(F.lit(6.0), 0.9 * F.get(heights, F.floor(F.size(heights) / 2).cast("int"))))
+    order = page.orderBy("x1", "x2")
+    reach = F.max("x2").over(order.rowsBetween(W.unboundedPreceding, -1))
+    df = df.withColumn("fresh", F.when(F.col("x1") <= reach + F.col("gap"), 0).otherwise(1))
+    df = df.withColumn("band", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    return df.groupBy(*keys, F.col("band").cast("int").alias("band")).agg(F.min("x1").alias("start"), F.max("x2").alias("end"))
+
+
+def assign_tokens(tokens: DataFrame, cells: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, tok, ord, score: each token's cell by the share of its area, the first of equals, from CELL_OVERLAP on.
+
+    A theta join within a page; the page key is an equi-join, so pages are spread.
+    """
+    t, c = tokens.alias("t"), cells.alias("c")
+    w = F.least("t.x2", "c.x2") - F.greatest("t.x1", "c.x1")
+    h = F.least("t.y2", "c.y2") - F.greatest("t.y1", "c.y1")
+    area = (F.col("t.x2") - F.col("t.x1")) * (F.col("t.y2") - F.col("t.y1"))
+    score = F.when(area > 0, w * h / area).otherwise(0.0)
+    hits = t.join(c, (F.col(f"t.{key}") == F.col(f"c.{key}")) & (w > 0) & (h > 0)).select(F.col(f"t.{key}").alias(key), "t.tok", "c.ord", score.alias("score"))
+    best = hits.groupBy(key, "tok").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"))).alias("b"))
+    return best.where(f"b.score >= {CELL_OVERLAP}").select(key, "tok", (-F.col("b.o")).alias("ord"), F.col("b.score").alias("score"))
