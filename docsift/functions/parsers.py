@@ -12,8 +12,10 @@ import logging
 import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from docsift.functions.text import SPACE, VALUE_STRIP, after_keyword, fix_ocr_digits, fold_text, folded, has_keyword, java_quote, let, strip, strip_of
 
@@ -55,9 +57,6 @@ def register(name: str) -> Callable[[Builder], Builder]:
 
 def register_python(name: str, parse: Callable[[str], str | None]) -> None:
     """Add a Python callable as a string parser; it runs as an Arrow UDF outside lambdas."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         def one(x):
