@@ -254,7 +254,7 @@ def family_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def overlap(sets_: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of two lists of sets, by products of membership matrices, a range of tokens at a time."""
+    """Sizes of the intersections of two lists of different sets, by products of membership matrices, a range of tokens at a time."""
     used = np.unique(np.concatenate([rows, columns]))
     flat = np.concatenate([sets_[i] for i in used])
     owner = np.repeat(used, [len(sets_[i]) for i in used])

@@ -83,7 +83,7 @@ class Encoder:
                 continue
             if head.isascii():
                 key = head.lower()
-            elif is_normalized("NFC", head):
+            elif is_normalized("NFC", head) and head.lower().isalpha():  # lower case may bring marks, which stand apart
                 key = head
             else:
                 words[w] = self._ids(w)

@@ -20,7 +20,9 @@ BUCKETS, WIDTH, HIDDEN = 1 << 14, 8, 8
 FIT_TOXIC, FIT_CLEAN = 1500, 2500
 #: Windows of one labelled row that an epoch uses, drawn anew each epoch.
 FIT_WINDOWS = 12
-EPOCHS, BATCH, RATE, SEED = 5, 128, 0.01, 20240229
+EPOCHS, BATCH, RATE, SEED = 5, 64, 0.01, 20240229
+#: Small samples are gone through more often, up to about so many steps.
+LEAST_STEPS = 300
 #: Share of a batch's words that only their triples stand for, and how embeddings shrink at each step.
 WORD_DROP, DECAY = 0.5, 0.01
 #: Words whose input vectors a worker keeps.
@@ -196,6 +198,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
         coded.append(np.array(ids, "i8"))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     turn = 0
+    windows = sum(min(FIT_WINDOWS, len(windows_of(len(ids)))) for ids in coded)
+    epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(1, windows)))
+    epochs = min(epochs, 10 * EPOCHS)
     for epoch in range(epochs):
         items = []
         for ids, label in zip(coded, labels, strict=True):
