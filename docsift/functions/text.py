@@ -42,10 +42,15 @@ def fold_tables() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@cache
+def _fold_map() -> dict[int, str]:
+    source, target = fold_tables()
+    return dict(zip(map(ord, source), target, strict=True))
+
+
 def fold_text(text: str) -> str:
     """As ``fold_accents``, for plan-time strings."""
-    source, target = fold_tables()
-    return text.translate(dict(zip(map(ord, source), target, strict=True)))
+    return text.translate(_fold_map())
 
 
 def fold_accents(col: Column) -> Column:

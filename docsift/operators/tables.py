@@ -263,7 +263,7 @@ def column_bands(df: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFram
     order = page.orderBy("x1", "x2")
     reach = F.max("x2").over(order.rowsBetween(W.unboundedPreceding, -1))
     df = df.withColumn("fresh", F.when(F.col("x1") <= reach + F.col("gap"), 0).otherwise(1))
-    df = df.withColumn("band", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    df = df.withColumn("band", F.sum("fresh").over(order.rangeBetween(W.unboundedPreceding, 0)) - 1)  # with equal intervals, which may be fresh in any order
     return df.groupBy(*keys, F.col("band").cast("int").alias("band")).agg(F.min("x1").alias("start"), F.max("x2").alias("end"))
 
 

@@ -263,7 +263,7 @@ def part_tokens(spark, sf, page: str) -> DataFrame:
   s AS (SELECT *, greatest(1.0, max(x2) OVER (PARTITION BY page) - min(x1) OVER (PARTITION BY page)) AS w FROM t),
   n AS (SELECT * FROM (SELECT *, bool_or(x2 - x1 <= 0.45 * w) OVER (PARTITION BY page) AS narrow FROM s) WHERE x2 - x1 <= 0.45 * w OR NOT narrow),
   f AS (SELECT *, CASE WHEN x1 <= max(x2) OVER (PARTITION BY page ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 18.0 THEN 0 ELSE 1 END AS fresh FROM n),
-  g AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY x1, x2 ROWS UNBOUNDED PRECEDING) - 1 AS band FROM f)
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY x1, x2) - 1 AS band FROM f)
   SELECT page, CAST(band AS INT) AS band, CAST(min(x1) AS DOUBLE) AS start_x, CAST(max(x2) AS DOUBLE) AS end_x FROM g GROUP BY ALL""")
 def column_bands(spark, sf):
     return tables.column_bands(part_tokens(spark, sf, "p_size"), ("page",)).select("page", "band", F.col("start").alias("start_x"), F.col("end").alias("end_x"))
