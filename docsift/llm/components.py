@@ -10,7 +10,7 @@ from docsift.llm.shared import drop_table, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, root): equal roots exactly for nodes that a path joins.
+    """(a, b) -> a written table (node, root): equal roots exactly for nodes that a path joins.
 
     Each round every node points at the neighbour (or itself) whose seeded hash is least;
     the pointed-at nodes form the next, smaller graph. A constant share of the nodes goes
@@ -46,4 +46,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         out = step.join(out.withColumnRenamed("node", "via"), "via", "left").select(
             "node", F.coalesce("root", "via").alias("root")
         )
+    out = materialize(out, "components")
+    for reps in maps:
+        drop_table(reps)
     return out

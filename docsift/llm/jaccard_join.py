@@ -207,7 +207,7 @@ def families(reps: DataFrame) -> DataFrame:
     edges = reps.select(
         F.xxhash64(F.lit("document"), "doc_id").alias("a"), F.explode(F.transform(heavy, lambda t: F.xxhash64(F.lit("token"), t["prefix"]))).alias("b")
     )
-    roots = materialize(connected_components(edges), "jaccard-families")
+    roots = connected_components(edges)
     members = reps.select("doc_id", "n", F.xxhash64(F.lit("document"), "doc_id").alias("node")).join(roots, "node").select("doc_id", "n", F.col("root").alias("family"))
     members = materialize(members.distinct(), "jaccard-members")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
@@ -330,7 +330,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = verified(light, stored.select("doc_id", "shingles"))
     placed = families(reps)
     links = links.unionByName(family_links(placed, stored)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = materialize(connected_components(links.unionByName(copies)), "jaccard-components")
+    found = connected_components(links.unionByName(copies))
+    for done in (first, reps, light):
+        drop_table(done)
     least = materialize(found.groupBy("root").agg(F.min("node").alias("component_id")), "jaccard-least")
     of_doc = found.join(least, "root").select(F.col("node").alias("doc_id"), "component_id")
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(of_doc, "doc_id", "left").select(

@@ -275,8 +275,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE,
         else:
             fs.delete_file(f"{folder}/{name}")
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id")
-    written = ranged.sortWithinPartitions("doc_id").mapInArrow(write, "file_no long, path string, docs long, ids long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))  # splits a doc_id of many rows
+    ranged = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    written = ranged.mapInArrow(write, "file_no long, path string, docs long, ids long")
     return materialize(written, "token-manifest")
 
 

@@ -48,6 +48,32 @@ def features(word: str) -> tuple[int, list[int]]:
     return whole, triples
 
 
+class Features:
+    """Buckets of many words: one whole-word bucket each, and their triples' in a row."""
+
+    def __init__(self, words: list[str]):
+        found = [features(w) for w in words]
+        self.whole = np.array([w for w, _ in found], "i8")
+        self.sizes = np.array([len(t) for _, t in found], "i8")
+        self.triples = np.array([x for _, t in found for x in t], "i8")
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def take(self, ids: np.ndarray) -> Features:
+        out = Features([])
+        out.whole, out.sizes = self.whole[ids], self.sizes[ids]
+        out.starts = np.cumsum(out.sizes) - out.sizes
+        out.triples = self.triples[np.repeat(self.starts[ids] - out.starts, out.sizes) + np.arange(out.sizes.sum())]
+        return out
+
+
+def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, the sum of each one's rows)."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[starts], np.add.reduceat(rows[order], starts)
+
+
 @dataclass
 class Network:
     """Word and letter-triple embeddings, a GRU in each direction, attention and one output.
@@ -74,16 +100,15 @@ class Network:
                 "bo": np.zeros((1, 1), "f4"),
             }
 
-    def inputs(self, words: list[tuple[int, list[int]]], drop: np.ndarray | None = None) -> np.ndarray:
+    def inputs(self, words: Features, drop: np.ndarray | None = None) -> np.ndarray:
         """[word, 2 * WIDTH]: the word's embedding (none where drop says so) beside the mean of its triples'."""
-        whole = np.array([w for w, _ in words], "i8")
-        sizes = np.array([len(t) for _, t in words])
-        flat = np.concatenate([np.array(t, "i8") for _, t in words]) if words else np.zeros(0, "i8")
-        sums = np.add.reduceat(self.p["chars"][flat], np.cumsum(sizes) - sizes) if len(flat) else np.zeros((0, WIDTH), "f4")
-        known = self.p["words"][whole]
+        if not len(words.whole):
+            return np.zeros((0, 2 * WIDTH), "f4")
+        known = self.p["words"][words.whole]
         if drop is not None:
             known = known * ~drop[:, None]
-        return np.hstack([known, sums / sizes[:, None].astype("f4")]).astype("f4")
+        sums = np.add.reduceat(self.p["chars"][words.triples], words.starts)
+        return np.hstack([known, sums / words.sizes[:, None].astype("f4")]).astype(self.p["wx"].dtype)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """[word, direction, 3 * hidden]: what an input adds to the gates."""
@@ -155,7 +180,7 @@ class Network:
         dstates = np.empty((time, 2, many, h), "f4")
         dstates[:, 0] = dboth[..., :h]
         dstates[back_t, 1, np.arange(many)[None]] = dboth[..., h:]
-        dx = np.zeros((2, len(x), 3 * h), "f4")
+        dins = np.empty((time, 2, many, 3 * h), "f4")
         carry = np.zeros((2, many, h), "f4")
         for t in range(time - 1, -1, -1):
             state, z, r, n, un = saved[t]
@@ -168,9 +193,11 @@ class Network:
             du = np.concatenate([dz, dr, dn * r], -1)
             g["wh"] += np.matmul(state.transpose(0, 2, 1), du)
             carry = d * (1 - m) + dnew * z + np.matmul(du, p["wh"].transpose(0, 2, 1))
-            din = np.concatenate([dz, dr, dn], -1)
-            for k in (0, 1):
-                np.add.at(dx[k], order[k, :, t], din[k])
+            dins[t, ..., :h], dins[t, ..., h : 2 * h], dins[t, ..., 2 * h :] = dz, dr, dn
+        dx = np.zeros((2, len(x), 3 * h), "f4")
+        for k in (0, 1):
+            ids, rows = summed(order[k].T.ravel(), dins[:, k].reshape(-1, 3 * h))
+            dx[k, ids] = rows
         g["b"] = dx.sum(1, keepdims=True)
         g["wx"] = np.matmul(x.T[None], dx)
         return g, (np.matmul(dx, p["wx"].transpose(0, 2, 1))).sum(0), loss
@@ -186,16 +213,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
         return None
     net = Network()
     vocab: dict[str, int] = {}
-    feats: list[tuple[int, list[int]]] = []
-    coded = []
-    for text in texts:
-        ids = []
-        for w in words_of(text):
-            if w not in vocab:
-                vocab[w] = len(feats)
-                feats.append(features(w))
-            ids.append(vocab[w])
-        coded.append(np.array(ids, "i8"))
+    coded = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(text)], "i8") for text in texts]
+    feats = Features(list(vocab))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     turn = 0
     windows = sum(min(FIT_WINDOWS, len(windows_of(len(ids)))) for ids in coded)
@@ -208,8 +227,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
             if len(spans) > FIT_WINDOWS:
                 spans = [spans[i] for i in net.rng.choice(len(spans), FIT_WINDOWS, replace=False)]
             if label and epoch and len(spans) > 1:
-                gates = net.project(net.inputs([feats[i] for i in ids]))
-                scores = _score_spans(net, gates, np.arange(len(ids)), spans)
+                scores = _score_spans(net, net.project(net.inputs(feats.take(ids))), np.arange(len(ids)), spans)
                 spans = [s for s, v in zip(spans, scores, strict=True) if v >= scores.max() / 2]
             items += [(ids[a:b], label) for a, b in spans if b > a]
         items += [(np.zeros(0, "i8"), 0)] * (1 + len(items) // 50)  # a text without words isn't toxic
@@ -223,24 +241,25 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
             cut = np.cumsum(sizes) - sizes
             for k, (n, c) in enumerate(zip(sizes, cut, strict=True)):
                 steps[k, :n] = inverse[c : c + n]
-            words = [feats[i] for i in used]
-            drop = net.rng.random(len(words)) < WORD_DROP
+            words = feats.take(used)
+            drop = net.rng.random(len(used)) < WORD_DROP
             g, dx, _ = net.gradients(net.inputs(words, drop), steps, sizes, np.array([y for _, y in some], "f4"))
-            g["words"], g["chars"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
-            np.add.at(g["words"], np.array([w for w, _ in words]), dx[:, :WIDTH] * ~drop[:, None])
-            counts = np.array([len(t) for _, t in words])
-            np.add.at(g["chars"], np.concatenate([t for _, t in words]), np.repeat(dx[:, WIDTH:] / counts[:, None], counts, 0))
+            sparse = {
+                "words": summed(words.whole, dx[:, :WIDTH] * ~drop[:, None]) if len(used) else None,
+                "chars": summed(words.triples, np.repeat(dx[:, WIDTH:] / words.sizes[:, None], words.sizes, 0)) if len(used) else None,
+            }
             turn += 1
             slower = 1 - (epoch + at / len(items)) / epochs  # the rate falls to nothing by the end
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            for k, v in g.items():
+            parts = [(k, slice(None), v) for k, v in g.items()] + [(k, *v) for k, v in sparse.items() if v is not None]
+            norm = np.sqrt(sum(float((v * v).sum()) for *_, v in parts))
+            for k, rows, v in parts:  # embeddings move only where the batch has words
                 v = v * min(1.0, 1.0 / (norm + 1e-9))
                 m1, m2 = moments[k]
-                m1 += 0.1 * (v - m1)
-                m2 += 0.01 * (v * v - m2)
-                if k in ("words", "chars"):
-                    net.p[k] *= 1 - DECAY
-                net.p[k] -= (RATE * slower * (m1 / (1 - 0.9**turn)) / (np.sqrt(m2 / (1 - 0.99**turn)) + 1e-6)).astype("f4")
+                m1[rows] += 0.1 * (v - m1[rows])
+                m2[rows] += 0.01 * (v * v - m2[rows])
+                if k in sparse:
+                    net.p[k][rows] *= 1 - DECAY
+                net.p[k][rows] -= (RATE * slower * (m1[rows] / (1 - 0.9**turn)) / (np.sqrt(m2[rows] / (1 - 0.99**turn)) + 1e-6)).astype("f4")
     return net
 
 
@@ -284,7 +303,7 @@ class Scorer:
                 self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
             for at in range(0, len(new), 8192):
                 some = new[at : at + 8192]
-                self.gates[first + at : first + at + len(some)] = self.net.project(self.net.inputs([features(w) for w in some]))
+                self.gates[first + at : first + at + len(some)] = self.net.project(self.net.inputs(Features(some)))
             known.update(zip(new, range(first, first + len(new)), strict=True))
         ids = np.array([known[w] for words in split for w in words], "i8")
         spans, owner, base = [], [], 0

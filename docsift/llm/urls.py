@@ -89,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redir
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")))
     judged = with_parts(pages.select("page_id", "url")).withColumn("own", matched_rule(rules)).withColumn("node", node_of(F.col("url")))
-    parts = materialize(connected_components(edges), "url-components")
+    parts = connected_components(edges)
     said = with_parts(parts.withColumnRenamed("node", "url")).withColumn("own", matched_rule(rules))
     of_root = said.groupBy("root").agg(
         F.max(F.when(F.col("own.verdict") == "allow", 2).when(F.col("own.verdict") == "block", 1)).alias("said")

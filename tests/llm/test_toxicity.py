@@ -31,7 +31,7 @@ def test_windows_cover_and_overlap():
 def test_gradients_are_those_of_the_loss():
     net = T.Network()
     net.p = {k: v.astype("f8") for k, v in net.p.items()}
-    words = [T.features(w) for w in ("one", "two", "three", "four")]
+    words = T.Features(["one", "two", "three", "four"])
     net.p["words"] = net.rng.standard_normal(net.p["words"].shape) * 0.3
     steps, sizes, labels = np.array([[0, 1, 2], [3, 1, 0]]), np.array([3, 2]), np.array([1.0, 0.0])
 
