@@ -88,6 +88,11 @@ def parse(name: str, col: Column, args: dict | None = None) -> Column:
     return builder(col, **args)
 
 
+def parse_many(jobs: Sequence[tuple[str, str, Column, dict]]) -> list[Column]:
+    """Value columns named by field for (field, parser, text column, arguments)."""
+    return [parse(name, col, args).alias(field) for field, name, col, args in jobs]
+
+
 def number_of(found: Column) -> Column:
     """struct(i bigint, d double) of a number string without white space; one is null, or both.
 

@@ -104,6 +104,12 @@ def grid_of(cells: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return places.select(*keys, "row", F.explode(F.expr("sequence(col, col + col_span - 1)")).alias("col"), "text")
 
 
+def rendered(cells: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, text: a table as lines of its grid's texts, parted by " | "."""
+    rows = grid_of(cells, keys).groupBy(*keys, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " | ").alias("line"))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda r: r["line"]), "\n").alias("text"))
+
+
 def cell_at(cells: DataFrame, places: DataFrame, key: str = "doc_id") -> DataFrame:
     """places (key, row, col) with the text of the first cell (by ord) that covers each; null for none."""
     c = cells.select(F.col(key).alias("_k"), "ord", "row_span", "col_span", "text", F.col("row").alias("_r"), F.col("col").alias("_c"))
