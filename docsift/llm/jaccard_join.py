@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docsift.llm.components import connected_components
 from docsift.llm.shared import drop_table, materialize, release
 from docsift.llm.shingles import shingle_sets, signature
-from docsift.llm.tokens import slices
+from docsift.llm.tokens import encoder, slices
 
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -75,6 +75,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """A written table of work groups: g, bytes, doc_id (list), text (list); each about GROUP_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
         base, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def pack() -> pa.RecordBatch:

@@ -54,4 +54,6 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
         return pafs.LocalFileSystem(), uri
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
+    if uri.startswith(("s3a://", "s3n://")):  # Hadoop's names for one store
+        uri = "s3" + uri[3:]
     return pafs.FileSystem.from_uri(uri)

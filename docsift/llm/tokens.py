@@ -22,8 +22,8 @@ from docsift.llm.shared import materialize, new_path, open_fs
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words kept per worker before the cache starts anew; about 250 MB.
-CACHED_WORDS = 800_000
+#: Words kept per worker before the cache starts anew; about 120 MB.
+CACHED_WORDS = 600_000
 #: ASCII punctuation.
 PUNCTUATION = string.punctuation
 #: Rows and characters encoded at a time.
@@ -67,14 +67,13 @@ class Encoder:
 
     def _reset(self) -> None:
         self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, missing: Iterable[str]) -> None:
         split: list[tuple[str, str]] = []
-        pieces, words = self.pieces, self.words
+        words = self.words
         heads: set[str] = set()
         for w in missing:
             head = w.rstrip(PUNCTUATION)
@@ -89,17 +88,17 @@ class Encoder:
                 words[w] = self._ids(w)
                 continue
             split.append((w, key))
-            if key not in pieces:
+            if key not in words:
                 heads.add(key)
         self._learn_heads(list(heads))
         for w, key in split:
             if len(w) == len(key):
-                words[w] = pieces[key]
+                words[w] = words[key]
                 continue
             tail = w[len(key) :]
-            if tail not in pieces:
-                pieces[tail] = self._ids(tail)
-            words[w] = pieces[key] + pieces[tail]
+            if tail not in words:
+                words[tail] = self._ids(tail)
+            words[w] = words[key] + words[tail]
 
     def _learn_heads(self, heads: list[str]) -> None:
         """Runs of letters go through the tokenizer in one text, cut again where words end."""
@@ -110,9 +109,9 @@ class Encoder:
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):  # one end for each, as every run gives at least one
                 data, bounds = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.pieces.update((w, data[a:b]) for w, a, b in zip(some, bounds, bounds[1:], strict=False))
+                self.words.update((w, data[a:b]) for w, a, b in zip(some, bounds, bounds[1:], strict=False))
             else:  # lower-casing split a run, or the vocabulary marks no ends
-                self.pieces.update((w, self._ids(w)) for w in some)
+                self.words.update((w, self._ids(w)) for w in some)
 
     def _plain(self, text: str) -> str:
         """The text with the tokenizer's own white-space and case folding done where that is certain to be the same."""
@@ -138,7 +137,10 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process, so that its words serve later tasks too."""
+    """One encoder per worker process, so that its words serve later tasks too.
+
+    Workers serve other operators later on; these call ``encoder.cache_clear()``.
+    """
     return Encoder(path)
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.tokens import slices
+from docsift.llm.tokens import encoder, slices
 
 WINDOW, STRIDE = 128, 96
 BUCKETS, WIDTH, HIDDEN = 1 << 14, 8, 8
@@ -24,7 +24,7 @@ EPOCHS, BATCH, RATE, SEED = 5, 64, 0.01, 20240229
 #: Small samples are gone through more often, up to about so many steps.
 LEAST_STEPS = 300
 #: Share of a batch's words that only their triples stand for, and how embeddings shrink at each step.
-WORD_DROP, DECAY = 0.5, 0.01
+WORD_DROP, DECAY = 0.8, 0.003
 #: Words whose input vectors a worker keeps.
 CACHED_WORDS = 200_000
 _WORD = re.compile(r"\w+")
@@ -283,6 +283,7 @@ class Scorer:
     """Scores whole texts; the gates' share of each word is computed once and kept."""
 
     def __init__(self, net: Network):
+        encoder.cache_clear()
         self.net = net
         self._reset()
 
