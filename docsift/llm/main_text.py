@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,17 @@ HINTS = re.compile(
     r"signup|login|popup|modal|overlay|widget\w*|pagination|pager|paywall|tags|byline-links|skip)(?=$|[\s_-])",
     re.I,
 )
+#: Words beside a hint that leave a name one of furniture; any other ('no-sidebar', 'related-work') makes it weak.
+BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons center column container content desktop entry float form global group icon icons inner "
+    "inline item items left link links list main mobile more outer page panel post posts primary right row secondary section site slot text "
+    "thread title top unit wrap wrapper zone".split()
+)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|commentform|disqus|respond|reply|replies)(?=$|[\s_-])", re.I)
+WEAK, SURE, OF_READERS = 1, 2, 3  # how surely a name is one of furniture; comments are prose, so only their name tells
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Names are left aside where less text than the first is kept and more than the second is lost by them.
+LITTLE, MUCH = 200, 500
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: What an open element of the key is closed by when one of the values begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -49,11 +61,23 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []  # children: nodes and texts, in page order
-        self.dropped = self.hinted = self.semantic = False
+        self.dropped = self.semantic = False
+        self.hinted = 0
         self.score = 0.0
         self.chars = self.link_chars = self.links = 0
 
 
+@lru_cache(1 << 16)
+def _hint(name: str) -> int:
+    """How surely one class or id names furniture; 0 if no word of it does."""
+    if HINTS.search(name) is None:
+        return 0
+    beside = [w for w in re.split(r"[\s_-]+", HINTS.sub(" ", name).lower()) if w and not w[0].isdigit()]
+    if not BESIDE.issuperset(beside):
+        return WEAK
+    return OF_READERS if COMMENTS.search(name) else SURE
+
+
 def _marks(node: Node, attrs: str, inside: bool) -> None:
     """Set whether the element is furniture for certain (dropped) or by its name (hinted)."""
     tag = node.tag
@@ -65,17 +89,21 @@ def _marks(node: Node, attrs: str, inside: bool) -> None:
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            names.append(value)
+            names += [(key, name) for name in value.split()]
         elif key == "role":
             node.dropped |= value.strip().lower() in ROLES and not (value.strip().lower() == "banner" and inside)
             node.semantic |= value.strip().lower() in ("main", "article")
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
             node.dropped = True
-    if names and not node.semantic:
-        text = " ".join(names)
+    if node.semantic or tag in HEADINGS:
+        return
+    for key, name in names:
         if inside:
-            text = re.sub(r"(?i)(?:^|(?<=[\s_-]))header(?=$|[\s_-])", "", text)
-        node.hinted = HINTS.search(text) is not None
+            name = re.sub(r"(?i)(?:^|(?<=[\s_-]))header(?=$|[\s_-])", "", name)
+        hint = _hint(name)
+        if hint == SURE and inside and key == "id" and tag not in ("div", "ul", "ol"):
+            hint = WEAK  # the id is that of a section to link to
+        node.hinted = max(node.hinted, hint)
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
@@ -169,15 +197,11 @@ def main_text(page: str | None) -> str:
                 holds.add(id(p))
                 p = p.parent
     for n in order:
-        up = n.parent
-        n.dropped = n.dropped or (n.hinted and id(n) not in holds) or (up is not None and up.dropped)
+        n.dropped = n.dropped or (n.parent is not None and n.parent.dropped)
     kept = [b for b in blocks if not b[0].dropped]
-    for n, text, linked in kept:
-        up: Node | None = n
-        while up is not None:
-            up.chars += len(text)
-            up.link_chars += linked
-            up = up.parent
+    if any(n.hinted for n in order):
+        kept = _without_named(order, kept, holds)
+    _count(order, kept)
     for n in reversed(order):
         if n.parent is not None and not n.dropped:
             n.parent.links += n.links
@@ -197,6 +221,8 @@ def main_text(page: str | None) -> str:
     for n in order:
         if n.score:
             bonus = 1.5 if n.semantic else 0.5 if n.tag in ("ul", "ol", "form", "table") else 1.0
+            if n.hinted and id(n) not in holds and 2 * n.chars < root.chars:
+                bonus /= 2
             n.score *= bonus * (1 - n.link_chars / max(1, n.chars))
     best = max(order, key=lambda n: n.score)
     if best.score <= 0:
@@ -212,6 +238,50 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(text for n, text, _ in kept if _under(n, take) or (n is parent and len(text) >= 80))
 
 
+def _count(order: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Set each element's characters, and those in links, to what blocks hold in it and below."""
+    for n in order:
+        n.chars = n.link_chars = 0
+    for n, text, linked in blocks:
+        n.chars += len(text)
+        n.link_chars += linked
+    for n in reversed(order):
+        if n.parent is not None:
+            n.parent.chars += n.chars
+            n.parent.link_chars += n.link_chars
+
+
+def _without_named(order: list[Node], blocks: list[tuple[Node, str, int]], holds: set[int]) -> list[tuple[Node, str, int]]:
+    """The blocks outside furniture by name, whose elements are marked as dropped.
+
+    An element with an article or main element below, or with most of the page's text, wraps
+    the page whatever its name; a weak name needs text that is mostly links. If little is
+    left so and much is lost, only comments are furniture.
+    """
+    _count(order, blocks)
+    readers: set[int] = set()
+    for n in order:
+        if (n.hinted == OF_READERS and id(n) not in holds) or id(n.parent) in readers:
+            readers.add(id(n))
+    rest = [b for b in blocks if id(b[0]) not in readers]
+    most = sum(len(text) for _, text, _ in rest) / 2
+    named = set(readers)
+    for n in order:
+        if id(n.parent) in named:
+            named.add(id(n))
+        elif n.hinted and id(n) not in holds:
+            links = n.link_chars > 0.5 * n.chars
+            if links or (n.hinted == SURE and (n.chars <= most or n.chars < MUCH)):
+                named.add(id(n))
+    kept = [b for b in rest if id(b[0]) not in named]
+    left = sum(len(text) for _, text, _ in kept)
+    if left < LITTLE and 2 * most - left > MUCH:
+        kept, named = rest, readers
+    for n in order:
+        n.dropped |= id(n) in named
+    return kept
+
+
 def _under(n: Node | None, marked: set[int]) -> bool:
     while n is not None:
         if id(n) in marked:
@@ -226,7 +296,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Block elements form a tree; each paragraph passes points for its length and commas to
     its ancestors, less with distance; an element's points are discounted by the share of its
     text in links. The best container and its content-like siblings are kept, without menus,
-    headers, footers, sidebars, notices, adverts, forms, scripts and comments. A null or empty
+    headers, footers, sidebars, notices, adverts, forms, scripts and comments. Names (class, id)
+    tell furniture only where the text doesn't speak against it. A null or empty
     page, or one of furniture alone, gives an empty text; broken markup is closed as
     browsers do; repeated rows are extracted each; an empty table gives no rows.
     """

@@ -46,3 +46,16 @@ def test_table(spark):
     found = extract_main_text(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in found) == sorted([(1, TEXT, len(TEXT)), (2, "", 0), (2, "", 0), (0, "é", 1), (3, P, len(P))])
     assert extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_names_alone_lose_no_text():
+    long = f"<h1>Title</h1>" + f"<p>{P}</p>" * 8
+    want = "\n\n".join(["Title", *[P] * 8])
+    for wrapper in ("class='site no-sidebar'", "id=wrapper class=header-fixed", "class='content sidebar-left'", "class=overlay", "class=has-comments"):
+        assert main_text(page(f"<div {wrapper}>{long}</div>")) == want, wrapper
+        assert main_text(page(f"<div {wrapper}><div class=post>{long}</div><div class=sidebar><p>{P}</p></div></div>")) == want, wrapper
+    inside = f"<h2 id=related-work>Related work</h2><p>{P}</p><h2 id=login>Login</h2><p>{P}</p><section id=share-prices><h2>Prices</h2><p>{P}</p></section><section id=tags><p>{P}</p></section>"
+    found = main_text(page(f"<article>{inside}<div class=related-posts><p>{P}</p></div><div id=tags>a, b</div><div class=share-on><a href=x>Share on X</a></div></article>"))
+    assert found == "\n\n".join(["Related work", P, "Login", P, "Prices", P, P])
+    assert main_text(page("".join(f"<div class=widget><p>{P} {k}</p></div>" for k in range(9)))).count(P) == 9
+    assert main_text(f"<div class=comments>{long}</div>") == ""
