@@ -37,6 +37,7 @@ BESIDE = frozenset(
 )
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|commentform|disqus|respond|reply|replies)(?=$|[\s_-])", re.I)
 WEAK, SURE, OF_READERS = 1, 2, 3  # how surely a name is one of furniture; comments are prose, so only their name tells
+OF_MAIN, OF_ARTICLE = 1, 2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Names are left aside where less text than the first is kept and more than the second is lost by them.
 LITTLE, MUCH = 200, 500
@@ -61,8 +62,8 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []  # children: nodes and texts, in page order
-        self.dropped = self.semantic = False
-        self.hinted = 0
+        self.dropped = False
+        self.hinted = self.semantic = 0
         self.score = 0.0
         self.chars = self.link_chars = self.links = 0
 
@@ -81,7 +82,7 @@ def _hint(name: str) -> int:
 def _marks(node: Node, attrs: str, inside: bool) -> None:
     """Set whether the element is furniture for certain (dropped) or by its name (hinted)."""
     tag = node.tag
-    node.semantic = tag in ("article", "main")
+    node.semantic = OF_ARTICLE if tag == "article" else OF_MAIN if tag == "main" else 0
     node.dropped = tag in FURNITURE or (tag == "header" and not inside)
     if not attrs or tag in ("html", "body"):
         return
@@ -92,9 +93,14 @@ def _marks(node: Node, attrs: str, inside: bool) -> None:
             names += [(key, name) for name in value.split()]
         elif key == "role":
             node.dropped |= value.strip().lower() in ROLES and not (value.strip().lower() == "banner" and inside)
-            node.semantic |= value.strip().lower() in ("main", "article")
+            node.semantic = max(node.semantic, {"main": OF_MAIN, "article": OF_ARTICLE}.get(value.strip().lower(), 0))
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
             node.dropped = True
+    if tag == "article" and any(_hint(name) == OF_READERS for _, name in names):
+        up = node.parent
+        while up is not None and up.hinted != OF_READERS:
+            up = up.parent
+        node.semantic *= up is None  # one comment in a list of them
     if node.semantic or tag in HEADINGS:
         return
     for key, name in names:
@@ -227,17 +233,45 @@ def main_text(page: str | None) -> str:
     best = max(order, key=lambda n: n.score)
     if best.score <= 0:
         return "\n\n".join(text for _, text, _ in kept)
-    take = {id(best)}
-    if best.parent is not None:
-        for n in best.parent.children:
+    whole = _container(best, root)
+    take = {id(whole)}
+    if whole.parent is not None:
+        for n in whole.parent.children:
             density = n.link_chars / max(1, n.chars)
             wide = n.tag in PARAGRAPHS and n.chars >= 80 and density < 0.25
-            if not n.dropped and (n.score >= max(10, 0.2 * best.score) or wide or n.tag in ("h1", "h2") and density < 0.25):
+            title = n.tag in ("h1", "h2", "hgroup", "header") and density < 0.25
+            if not n.dropped and (n.score >= max(10, 0.2 * best.score) or wide or title):
                 take.add(id(n))
-    parent = best.parent
+    parent = whole.parent
     return "\n\n".join(text for n, text, _ in kept if _under(n, take) or (n is parent and len(text) >= 80))
 
 
+def _container(best: Node, root: Node) -> Node:
+    """The element to take whole: the outermost article around best, else its main element.
+
+    Without either, the outermost element of few links around it below the one that lays out
+    the page, which is the body or has a header, footer or navigation of its own.
+    """
+    found = main = None
+    n: Node | None = best
+    while n is not None:
+        if n.semantic:
+            if n.semantic == OF_MAIN:
+                main = main or n
+            else:
+                found = n
+        n = n.parent
+    if found or main:
+        return found or main
+    n = best
+    while n.parent is not None and n.parent is not root and n.parent.tag not in ("html", "body"):
+        up = n.parent
+        if up.link_chars >= 0.25 * up.chars or any(c.dropped and c.tag in ("header", "footer", "nav") for c in up.children):
+            break
+        n = up
+    return n
+
+
 def _count(order: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
     """Set each element's characters, and those in links, to what blocks hold in it and below."""
     for n in order:
@@ -295,10 +329,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Block elements form a tree; each paragraph passes points for its length and commas to
     its ancestors, less with distance; an element's points are discounted by the share of its
-    text in links. The best container and its content-like siblings are kept, without menus,
-    headers, footers, sidebars, notices, adverts, forms, scripts and comments. Names (class, id)
-    tell furniture only where the text doesn't speak against it. A null or empty
-    page, or one of furniture alone, gives an empty text; broken markup is closed as
+    text in links. The article around the best element, and content-like siblings of it, are
+    kept whole but for menus, headers, footers, sidebars, notices, adverts, forms, scripts and
+    comments. Names (class, id) tell furniture only where the text doesn't speak against it. A
+    null or empty page, or one of furniture alone, gives an empty text; broken markup is closed as
     browsers do; repeated rows are extracted each; an empty table gives no rows.
     """
 

@@ -59,3 +59,16 @@ def test_names_alone_lose_no_text():
     assert found == "\n\n".join(["Related work", P, "Login", P, "Prices", P, P])
     assert main_text(page("".join(f"<div class=widget><p>{P} {k}</p></div>" for k in range(9)))).count(P) == 9
     assert main_text(f"<div class=comments>{long}</div>") == ""
+
+
+def test_uneven_parts_of_one_article_are_kept():
+    long, most = f"<p>{P}</p>" * 20, [P] * 20
+    parts = [f"<header><h1>Head</h1></header>Loose line.<div class=lead><p>Lead, {P}</p></div><div class=content>{long}</div>Between.<section><p>{P * 4}</p></section><div><p>The end.</p></div>"]
+    want = "\n\n".join(["Head", "Loose line.", f"Lead, {P}", *most, "Between.", P * 4, "The end."])
+    for around in ("<article>{}</article>", "<main><div>{}</div></main>", "<div role=main>{}</div>", "<div role=main><div class=more>x</div><article>{}</article></div>", "<main><article class=content--comment>{}</article></main>"):
+        found = main_text(page(around.format(*parts) + "<div class=more>Other, small.</div>"))
+        assert found == want, around
+    assert main_text(page(f"<div id=post><h1>Head</h1><div>{long}</div><div><p>{P}</p></div><div><p>The end.</p></div></div>")) == "\n\n".join(["Head", *most, P, "The end."])
+    comments = f"<div id=comments><article class=comment><p>{P} I say.</p></article></div>"
+    assert main_text(page(f"<main><div>{long}</div><div><p>Short end.</p></div>{comments}<nav>x</nav></main>")) == "\n\n".join([*most, "Short end."])
+    assert main_text(page(f"<div><nav>x</nav><div>{long}</div><div>Small print.</div></div>")) == "\n\n".join(most)
