@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsift.functions.text import let
 from docsift.llm.components import connected_components
 from docsift.llm.shared import materialize
 
@@ -20,10 +21,12 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_TAG = r"(?is)<(?:link|meta|base)\b[^>]*>"
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)\bcontent\s*=\s*["'][^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
     """Add host and path. Null url or one without ``://``: both empty."""
@@ -52,33 +55,83 @@ def matched_rule(rules: Sequence[tuple[str, str]]) -> Column:
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): page url to each canonical-link target and each meta-refresh target in its html.
 
-    Fragments are cut, a leading ``//`` takes the page's scheme and a leading ``/`` its
-    scheme and host; other relative targets are left out. Null urls or html give none.
+    Targets are resolved against the page's url or its base element, fragments are cut.
+    Targets of other schemes without ``//`` are no pages. Null urls or html give none.
     """
-    tags = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
+    all_tags = pages.select("url", F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)).alias("tags")).where("url IS NOT NULL AND size(tags) > 0")
+    bases = F.filter("tags", lambda t: t.rlike(r"(?i)^<base\b") & (F.regexp_extract(t, _HREF, 1) != ""))
+    tags = all_tags.select("url", F.regexp_extract(F.get(bases, F.lit(0)), _HREF, 1).alias("base"), F.explode("tags").alias("tag"))
     kind = F.lower("tag")
-    canonical = F.when(kind.rlike(r"""\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), F.regexp_extract("tag", _HREF, 1))
+    canonical = F.when(kind.rlike(r"""^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), F.regexp_extract("tag", _HREF, 1))
     refresh = F.when(kind.rlike(r"""\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", _REFRESH, 1))
     to = F.coalesce(canonical, refresh)
-    found = tags.select("url", F.replace(to, F.lit("&amp;"), F.lit("&")).alias("to")).where("url IS NOT NULL AND to <> ''")
-    scheme, site = F.regexp_extract("url", r"^[^:/?#]+:", 0), F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*", 0)
-    full = (
-        F.when(F.col("to").startswith("//"), F.concat(scheme, "to"))
-        .when(F.col("to").startswith("/"), F.concat(site, "to"))
-        .when(F.instr("to", "://") > 0, F.col("to"))
+    found = tags.select("url", plain("base").alias("base"), plain(to).alias("to")).where("to <> ''")
+    based = found.select("url", "to", F.coalesce(F.when(F.col("base") != "", resolved(F.col("url"), F.col("base"))), "url").alias("base"))
+    return based.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("base"), F.col("to"))).alias("b")).where("b IS NOT NULL")
+
+
+def plain(href: Column | str) -> Column:
+    return F.replace(href, F.lit("&amp;"), F.lit("&"))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The url that a link ``to`` on a page at ``base`` leads to; null if it is of a scheme without ``//``."""
+    parts = let(base, lambda b: let(F.regexp_extract(b, _SCHEME + "//[^/?#]*", 0), lambda site: F.struct(
+        b.alias("base"),
+        site.alias("site"),
+        F.regexp_extract(F.substring(b, F.length(site) + 1, F.length(b)), r"^[^?#]*", 0).alias("path"),
+    )))
+    return let(to, lambda t: let(parts, lambda p: _resolved(p["base"], p["site"], p["path"], t)))
+
+
+def _resolved(base: Column, site: Column, path: Column, to: Column) -> Column:
+    folder = F.concat(F.lit("/"), F.substring(F.regexp_extract(path, r"(?s)^.*/", 0), 2, 1 << 30))
+    return (
+        F.when(to.rlike(_SCHEME + "//"), to)
+        .when(to.rlike(_SCHEME) | (site == ""), F.lit(None))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(site, _SCHEME, 0), to))
+        .when(to.startswith("#"), base)
+        .when(to.startswith("?"), F.concat(site, F.when(path == "", "/").otherwise(path), to))
+        .otherwise(F.concat(site, without_dots(F.when(to.startswith("/"), to).otherwise(F.concat(folder, to)))))
     )
-    return found.select(node_of(F.col("url")).alias("a"), node_of(full).alias("b")).where("b IS NOT NULL")
+
+
+def without_dots(target: Column) -> Column:
+    """A path from ``/`` on, with query and fragment or without, with its ``.`` and ``..`` steps taken."""
+
+    def after(steps: Column) -> Column:
+        return F.aggregate(
+            steps,
+            F.array().cast("array<string>"),
+            lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+            lambda done: F.concat_ws("/", done, F.when(F.element_at(steps, -1).isin(".", ".."), "")),
+        )
+
+    def clean(x: Column) -> Column:
+        return let(F.regexp_extract(x, r"^[^?#]*", 0), lambda path: F.concat(let(F.split(path, "/"), after), F.substring(x, F.length(path) + 1, F.length(x))))
+
+    return let(target, clean)
 
 
 def node_of(url: Column) -> Column:
-    return F.substring_index(url, "#", 1)
+    """The url without fragment, scheme and host in lower case (ASCII letters, as in ``with_parts``)."""
+
+    def lowered(x: Column) -> Column:
+        bare = F.regexp_extract(x, _SCHEME + r"//[^/?#@]*(?=[/?#]|$)", 0)  # scheme and host, if no user name is between them
+        scheme, user = F.regexp_extract(x, _SCHEME + "//", 0), F.regexp_extract(x, _SCHEME + r"//([^/?#]*@)", 1)
+        head = F.when(bare != "", F.translate(bare, UPPER, LOWER)).otherwise(
+            F.concat(F.translate(scheme, UPPER, LOWER), user, F.translate(F.regexp_extract(x, _SCHEME + r"//[^/?#]*@([^/?#]*)", 1), UPPER, LOWER))
+        )
+        return let(head, lambda h: F.concat(h, F.substring(x, F.length(h) + 1, F.length(x))))
+
+    return let(F.substring_index(url, "#", 1), lowered)
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, by_alias.
 
     A url with a rule keeps its rule's verdict. A url without one takes its component's:
-    components are of urls (fragments cut) under canonical links, meta refreshes and
+    components are of urls (as by ``node_of``) under canonical links, meta refreshes and
     ``redirects(a, b)``. An explicit allow on any member outranks the blocks there, else one
     explicit block blocks every alias; without either it is allowed. by_alias tells that
     the verdict came that way. Null or malformed urls have empty parts and are allowed;

@@ -57,3 +57,21 @@ def test_empty_table_and_given_redirects(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
     redirects = spark.createDataFrame([("http://a.info/", "http://b.org/es/"), (None, "x")], "a string, b string")
     assert judged(spark, [(1, "http://a.info/", None)], redirects=redirects)[1][3] == "block"
+
+
+def test_relative_targets_and_case(spark):
+    link, refresh = '<link rel="canonical" href="{}">'.format, "<meta http-equiv=refresh content='0; url={}'>".format
+    bad = refresh("http://x.org/es/")
+    rows = [
+        (1, "http://a.info/d/e?x=1", refresh("index.html")), (2, "http://a.info/d/index.html", bad),
+        (3, "http://b.info/d/e?x=1", refresh("?id=7&amp;y")), (4, "http://b.info/d/e?id=7&y", bad),
+        (5, "http://c.info/d/e/f", link("../x/./y?a=../b")), (6, "http://c.info/d/x/y?a=../b", bad),
+        (7, "http://d.info", link("x")), (8, "http://d.info/x", bad),
+        (9, "http://e.info/d/e", "<head><base target=_top><BASE href='/other/'>" + link("x")), (10, "http://e.info/other/x", bad),
+        (11, "HTTP://F.Info/X", refresh("y")), (12, "http://f.info/y", bad), (13, "http://f.info/X", None), (14, "http://f.info/x", None),
+        (15, "http://g.info/d/e", link("../../..")), (16, "http://g.info/", bad), (17, "http://g.info/d/f", link("mailto:x")),
+        (18, "no scheme", link("/b")), (19, "also none", link("/b") + bad), (20, "http://h.info/a", link("#x") + link("//H.info/b")), (21, "http://h.info/b", bad),
+        (22, "http://i.info/a", "<base href='//j.info/d/e'>" + refresh("?q")), (23, "http://j.info/d/e?q", bad), (24, "http://i.info/a?q", None),
+    ]
+    got = judged(spark, rows)
+    assert {k for k, v in got.items() if v[3] == "block"} == set(range(1, 24)) - {14, 17, 18}
