@@ -1,4 +1,4 @@
-"""Command line: extract records from text files, images or page texts."""
+"""Command line: extract records from text files; images and PDFs have no entry point here."""
 
 from __future__ import annotations
 
