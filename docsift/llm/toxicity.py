@@ -70,7 +70,7 @@ def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct ids, the sum of each one's rows)."""
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
-    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
     return ids[starts], np.add.reduceat(rows[order], starts)
 
 
@@ -153,7 +153,7 @@ class Network:
         a = np.tanh(both @ self.p["wa"])
         e = (a @ self.p["va"])[..., 0]
         e = np.where(live.T > 0, e, -1e9)
-        w = np.exp(e - e.max(0, keepdims=True)) * live.T
+        w = np.exp(e - e.max(0, keepdims=True, initial=-1e9)) * live.T
         w /= np.maximum(w.sum(0, keepdims=True), 1e-9)
         pooled = (w[..., None] * both).sum(0)
         logit = (pooled @ self.p["wo"] + self.p["bo"])[:, 0]
@@ -207,7 +207,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
     """Train on whole documents' labels: a window of a toxic document counts once it leads there.
 
     In the first epoch every window has its document's label; later, of a toxic document
-    only the windows that score at least half of its best do. None without both classes.
+    only the windows that score at least half of the best of all its windows do. An epoch uses at
+    most FIT_WINDOWS of a document's windows. None without both classes.
     """
     if len(set(labels)) < 2:
         return None
@@ -224,11 +225,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
         items = []
         for ids, label in zip(coded, labels, strict=True):
             spans = windows_of(len(ids))
-            if len(spans) > FIT_WINDOWS:
-                spans = [spans[i] for i in net.rng.choice(len(spans), FIT_WINDOWS, replace=False)]
             if label and epoch and len(spans) > 1:
                 scores = _score_spans(net, net.project(net.inputs(feats.take(ids))), np.arange(len(ids)), spans)
                 spans = [s for s, v in zip(spans, scores, strict=True) if v >= scores.max() / 2]
+            if len(spans) > FIT_WINDOWS:
+                spans = [spans[i] for i in net.rng.choice(len(spans), FIT_WINDOWS, replace=False)]
             items += [(ids[a:b], label) for a, b in spans if b > a]
         items += [(np.zeros(0, "i8"), 0)] * (1 + len(items) // 50)  # a text without words isn't toxic
         net.rng.shuffle(items)
@@ -338,7 +339,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from 0.5) per document.
 
-    The network is fitted on labelled_sample and scores every overlapping window of every
+    The network is fitted on labelled_sample (at most FIT_TOXIC + FIT_CLEAN rows, of each at
+    most FIT_WINDOWS windows an epoch, drawn anew each epoch; of a toxic row from the windows
+    that score high among all of its own, after the first epoch) and scores every overlapping window of every
     whole text; a document has its highest window's score. Texts alone are its input. Null
     and empty texts have the score of an empty window; a null doc_id isn't held out; repeated
     rows are scored each; without labels of both classes every score is 0; an empty table

@@ -87,3 +87,17 @@ def test_held_out_labels_are_never_learned(spark):
     texts, _ = T.labelled_sample(d, spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS))
     held = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
     assert texts and not held & set(texts)
+
+
+def test_all_windows_of_a_long_toxic_text_are_scored_before_some_train(monkeypatch):
+    words = ["alpha", "beta", "gamma"] * 1000
+    words[1500:1504] = ["vilely", "vileness"] * 2
+    scored, real = [], T._score_spans
+    monkeypatch.setattr(T, "_score_spans", lambda net, gates, ids, spans: scored.append(len(spans)) or real(net, gates, ids, spans))
+    T.fit([" ".join(words), "alpha beta"], [1, 0], epochs=2)
+    assert set(scored) == {len(T.windows_of(3000))} and scored[0] > T.FIT_WINDOWS
+
+
+def test_a_batch_of_empty_windows_alone():
+    g, dx, loss = T.Network().gradients(np.zeros((0, 2 * T.WIDTH), "f4"), np.zeros((2, 0), "i8"), np.zeros(2, "i8"), np.zeros(2, "f4"))
+    assert np.isfinite(loss) and g["bo"].item() > 0 and dx.shape == (0, 2 * T.WIDTH)
