@@ -10,16 +10,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docsift.llm.shared import drop_table, materialize
 from docsift.llm.tokens import encoder, slices
 
 WINDOW, STRIDE = 128, 96
 BUCKETS, WIDTH, HIDDEN = 1 << 14, 8, 8
-#: Labelled rows that the network is fitted on: at most so many toxic ones and so many others.
+#: Labelled rows that the network is fitted on: at most so many toxic ones and so many others, and so many bytes of text of each.
 FIT_TOXIC, FIT_CLEAN = 1500, 2500
-#: Windows of one labelled row that an epoch uses, drawn anew each epoch.
-FIT_WINDOWS = 12
+FIT_BYTES = 8_000_000
 EPOCHS, BATCH, RATE, SEED = 5, 64, 0.01, 20240229
 #: Small samples are gone through more often, up to about so many steps.
 LEAST_STEPS = 300
@@ -207,8 +208,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
     """Train on whole documents' labels: a window of a toxic document counts once it leads there.
 
     In the first epoch every window has its document's label; later, of a toxic document
-    only the windows that score at least half of the best of all its windows do. An epoch uses at
-    most FIT_WINDOWS of a document's windows. None without both classes.
+    only the windows that score at least half of the best of all its windows do. Every window
+    of every text takes part; a text without words is one empty window, and where no text is,
+    some empty windows stand for clean ones. None without both classes.
     """
     if len(set(labels)) < 2:
         return None
@@ -218,7 +220,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
     feats = Features(list(vocab))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     turn = 0
-    windows = sum(min(FIT_WINDOWS, len(windows_of(len(ids)))) for ids in coded)
+    windows = sum(len(windows_of(len(ids))) for ids in coded)
+    blank = all(len(ids) for ids in coded)
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(1, windows)))
     epochs = min(epochs, 10 * EPOCHS)
     for epoch in range(epochs):
@@ -228,10 +231,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
             if label and epoch and len(spans) > 1:
                 scores = _score_spans(net, net.project(net.inputs(feats.take(ids))), np.arange(len(ids)), spans)
                 spans = [s for s, v in zip(spans, scores, strict=True) if v >= scores.max() / 2]
-            if len(spans) > FIT_WINDOWS:
-                spans = [spans[i] for i in net.rng.choice(len(spans), FIT_WINDOWS, replace=False)]
-            items += [(ids[a:b], label) for a, b in spans if b > a]
-        items += [(np.zeros(0, "i8"), 0)] * (1 + len(items) // 50)  # a text without words isn't toxic
+            items += [(ids[a:b], label) for a, b in spans]
+        if blank:  # no label tells what a text without words is
+            items += [(np.zeros(0, "i8"), 0)] * (1 + len(items) // 50)
         net.rng.shuffle(items)
         items = sorted(items, key=lambda x: len(x[0])) if len(items) < BATCH else items
         for at in range(0, len(items), BATCH):
@@ -324,28 +326,37 @@ def held_out_fold() -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most FIT_TOXIC + FIT_CLEAN rows outside the held-out fold, by a hash of doc_id."""
+    """Texts and labels of the rows outside the held-out fold that the network is fitted on.
+
+    In the order of a hash of doc_id: at most FIT_TOXIC toxic and FIT_CLEAN other rows, and of
+    each class those whose texts together stay within FIT_BYTES. Null texts are empty; of rows
+    that repeat a doc_id the least text counts, of repeated labels the highest.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out_fold())
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     order = F.xxhash64(F.lit(SEED), "doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(FIT_TOXIC).unionByName(
         known.where("toxic = 0").orderBy(order, "doc_id").limit(FIT_CLEAN)
     )  # bounded by the two limits, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = sorted((r for r in rows.collect() if r["text"]), key=lambda r: r["doc_id"])  # at most the two limits
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    kept = materialize(rows.withColumns({"size": F.octet_length("text"), "place": F.xxhash64(F.lit(SEED), "doc_id")}), "toxicity-sample")  # at most the two limits
+    before = W.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    fits = kept.select("doc_id", (F.sum("size").over(before) <= FIT_BYTES).alias("fits")).where("fits")
+    found = sorted(kept.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "toxic").collect(), key=lambda r: r["doc_id"])  # bounded in rows and bytes
+    drop_table(kept)
+    return [r["text"] for r in found], [r["toxic"] for r in found]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from 0.5) per document.
 
-    The network is fitted on labelled_sample (at most FIT_TOXIC + FIT_CLEAN rows, of each at
-    most FIT_WINDOWS windows an epoch, drawn anew each epoch; of a toxic row from the windows
-    that score high among all of its own, after the first epoch) and scores every overlapping window of every
-    whole text; a document has its highest window's score. Texts alone are its input. Null
-    and empty texts have the score of an empty window; a null doc_id isn't held out; repeated
-    rows are scored each; without labels of both classes every score is 0; an empty table
-    gives no rows.
+    The network is fitted on labelled_sample (at most FIT_TOXIC + FIT_CLEAN rows and FIT_BYTES
+    of text of each class, with all of their windows) and scores every overlapping window of
+    every whole text; a document has its highest window's score. Texts alone are its input:
+    other columns, also of names that this result has, aren't read. Null and empty texts have
+    the score of an empty window; very long texts have many windows, which are scored some at a
+    time; a null doc_id isn't held out; repeated rows are scored each, equal texts equally; without
+    labels of both classes every score is 0; an empty table gives no rows.
     """
     net = fit(*labelled_sample(docs, labels))
     weights = None if net is None else docs.sparkSession.sparkContext.broadcast(net.p)  # about 1 MB, whatever the input
@@ -369,7 +380,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the network, fitted as in ``score_toxicity``, scores at 0.5 or more.
 
-    Every column is kept and nothing is shuffled.
+    Every column is kept, whatever its name, and no document is shuffled; the cases are those of
+    ``score_toxicity``; without labels of both classes every row stays.
     """
     net = fit(*labelled_sample(docs, labels))
     if net is None:

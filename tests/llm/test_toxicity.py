@@ -89,15 +89,73 @@ def test_held_out_labels_are_never_learned(spark):
     assert texts and not held & set(texts)
 
 
-def test_all_windows_of_a_long_toxic_text_are_scored_before_some_train(monkeypatch):
+def test_all_windows_of_every_text_train(monkeypatch):
     words = ["alpha", "beta", "gamma"] * 1000
     words[1500:1504] = ["vilely", "vileness"] * 2
-    scored, real = [], T._score_spans
+    scored, real, trained, gradients = [], T._score_spans, [], T.Network.gradients
     monkeypatch.setattr(T, "_score_spans", lambda net, gates, ids, spans: scored.append(len(spans)) or real(net, gates, ids, spans))
+    monkeypatch.setattr(T.Network, "gradients", lambda net, x, steps, sizes, y: trained.append(len(y)) or gradients(net, x, steps, sizes, y))
+    monkeypatch.setattr(T, "LEAST_STEPS", 0)
+    T.fit([" ".join(words), "beta " * 2000, "", "alpha beta"], [1, 0, 0, 1], epochs=1)
+    assert sum(trained) == len(T.windows_of(3000)) + len(T.windows_of(2000)) + 2
     T.fit([" ".join(words), "alpha beta"], [1, 0], epochs=2)
-    assert set(scored) == {len(T.windows_of(3000))} and scored[0] > T.FIT_WINDOWS
+    assert set(scored) == {len(T.windows_of(3000))}
+
+
+def test_batches_of_any_remainder_and_of_empty_windows_alone(monkeypatch):
+    monkeypatch.setattr(T, "LEAST_STEPS", 0)
+    for n in range(2, T.BATCH + 6):
+        net = T.fit(["alpha vile" if k % 2 else "" for k in range(n)], [k % 2 for k in range(n)], epochs=1)
+        assert all(np.isfinite(v).all() for v in net.p.values())
+        net = T.fit([""] * n, [k % 2 for k in range(n)], epochs=1)
+        assert np.isfinite(T.Scorer(net).score(["", None, "alpha"])).all()
 
 
 def test_a_batch_of_empty_windows_alone():
     g, dx, loss = T.Network().gradients(np.zeros((0, 2 * T.WIDTH), "f4"), np.zeros((2, 0), "i8"), np.zeros(2, "i8"), np.zeros(2, "f4"))
     assert np.isfinite(loss) and g["bo"].item() > 0 and dx.shape == (0, 2 * T.WIDTH)
+
+
+def plain_score(net, text):
+    """The network by its equations, a word at a time, and the highest of all windows."""
+    p, h = net.p, T.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    vectors = []
+    for w in T.words_of(text):
+        whole, triples = T.features(w)
+        vectors.append(np.concatenate([p["words"][whole], np.mean([p["chars"][t] for t in triples], 0)]))
+    best = 0.0
+    for a, b in T.windows_of(len(vectors)):
+        some, sides = vectors[a:b], []
+        for d in (0, 1):
+            state, seen = np.zeros(h), []
+            for x in some[:: 1 - 2 * d]:
+                g, u = x @ p["wx"][d] + p["b"][d, 0], state @ p["wh"][d]
+                z, r = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :])
+                seen.append(state)
+            sides.append(seen[:: 1 - 2 * d])
+        both = [np.concatenate(s) for s in zip(*sides, strict=True)]
+        e = np.array([(np.tanh(s @ p["wa"]) @ p["va"])[0] for s in both])
+        share = np.exp(e - e.max()) / np.exp(e - e.max()).sum() if len(e) else e
+        pooled = sum((s * w for s, w in zip(both, share, strict=True)), np.zeros(2 * h))
+        best = max(best, float(sig(pooled @ p["wo"] + p["bo"][0])[0]))
+    return best
+
+
+def test_scores_are_those_of_the_equations():
+    rows = sample(24, 7)
+    net = T.fit([t for _, t, _ in rows], [y for *_, y in rows], epochs=2)
+    texts = ["", "alpha", None, "Vilely, ALPHA beta! " * 70, *(t for _, t, _ in sample(8, 9))]
+    assert T.Scorer(net).score(texts) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-4)
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, "word " * (20 if i % 2 else 200), "", "") for i in range(200)] + [(500, "word " * 10_000, "", ""), (3, "zzz", "", ""), (7, None, "", "")]
+    d = spark.createDataFrame(rows, DOCS)
+    l = spark.createDataFrame([(i, 1, i % 2) for i in range(200)] + [(500, 1, 0)], LABELS)
+    monkeypatch.setattr(T, "FIT_BYTES", 6000)
+    texts, labels = T.labelled_sample(d, l)
+    size = {y: sum(len(t) for t, k in zip(texts, labels, strict=True) if k == y) for y in (0, 1)}
+    assert 0 < size[0] <= 6000 and 0 < size[1] <= 6000
+    assert (texts, labels) == T.labelled_sample(d.repartition(7), l.repartition(3))
