@@ -22,6 +22,8 @@ BUCKETS, WIDTH, HIDDEN = 1 << 14, 8, 8
 FIT_TOXIC, FIT_CLEAN = 1500, 2500
 FIT_BYTES = 8_000_000
 EPOCHS, BATCH, RATE, SEED = 5, 64, 0.01, 20240229
+#: Clean windows that score below EASY train one in EASY_SHARE, with its weight.
+EASY, EASY_SHARE = 0.03, 4
 #: Small samples are gone through more often, up to about so many steps.
 LEAST_STEPS = 300
 #: Share of a batch's words that only their triples stand for, and how embeddings shrink at each step.
@@ -127,25 +129,30 @@ class Network:
         back = np.where(at[None] < sizes[:, None], sizes[:, None] - 1 - at[None], at[None])
         order = np.stack([steps, np.take_along_axis(steps, back, 1)])  # [2, window, time]
         live = (at[None] < sizes[:, None]).astype("f4")
-        full = bool(live.all())
+        least = int(sizes.min(initial=time))  # up to here every window has words
         state = np.zeros((2, many, h), "f4")
         states = np.empty((time, 2, many, h), "f4")
+        x = np.empty((time, 2, many, h3), "f4")
+        x[:, 0], x[:, 1] = gates[order[0].T, 0], gates[order[1].T, 1]
+        x[..., : 2 * h] *= 0.5  # a sigmoid is half a tanh of half
+        half = self.p["wh"].copy()
+        half[..., : 2 * h] *= 0.5
         saved = []
         for t in range(time):
-            x = np.stack([gates[order[0, :, t], 0], gates[order[1, :, t], 1]])
-            u = np.matmul(state, self.p["wh"])
-            zr = x[..., : 2 * h] + u[..., : 2 * h]
-            zr *= 0.5
-            np.tanh(zr, out=zr)
+            u = np.matmul(state, half)
+            zr = np.tanh(x[t, ..., : 2 * h] + u[..., : 2 * h])
             zr += 1
             zr *= 0.5
             z, r = zr[..., :h], zr[..., h:]
-            un = u[..., 2 * h : h3]
-            n = np.tanh(x[..., 2 * h :] + r * un)
-            new = n + z * (state - n)
-            if not full:
-                m = live[None, :, t, None]
-                new = state + m * (new - state)
+            un = u[..., 2 * h :]
+            n = r * un
+            n += x[t, ..., 2 * h :]
+            np.tanh(n, out=n)
+            new = state - n
+            new *= z
+            new += n
+            if t >= least:
+                new = np.where(live[None, :, t, None] > 0, new, state)
             if keep:
                 saved.append((state, z, r, n, un))
             state = states[t] = new
@@ -161,13 +168,13 @@ class Network:
         score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         return (score, saved, (order, live, back_t, both, a, w, pooled)) if keep else score
 
-    def gradients(self, x: np.ndarray, steps: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Gradients of the mean log loss, those of x itself, and the loss."""
+    def gradients(self, x: np.ndarray, steps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray | float = 1.0) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Gradients of the mean of the windows' weighted log losses, those of x itself, and the loss."""
         p, h = self.p, HIDDEN
         score, saved, (order, live, back_t, both, a, w, pooled) = self.forward(self.project(x), steps, sizes, keep=True)
         many, time = steps.shape
-        loss = float(-np.mean(np.log(np.where(labels > 0, score, 1 - score) + 1e-7)))
-        dlogit = ((score - labels) / many).astype("f4")[:, None]
+        loss = float(-np.mean(weights * np.log(np.where(labels > 0, score, 1 - score) + 1e-7)))
+        dlogit = (weights * (score - labels) / many).astype("f4")[:, None]
         g = {k: np.zeros_like(p[k]) for k in ("wh", "wx", "b")}
         g["wo"], g["bo"] = pooled.T @ dlogit, dlogit.sum(0, keepdims=True)
         dpooled = dlogit @ p["wo"].T
@@ -182,19 +189,26 @@ class Network:
         dstates[:, 0] = dboth[..., :h]
         dstates[back_t, 1, np.arange(many)[None]] = dboth[..., h:]
         dins = np.empty((time, 2, many, 3 * h), "f4")
-        carry = np.zeros((2, many, h), "f4")
+        dus = np.empty((time, 2, many, 3 * h), "f4")
+        carry, least, back_wh = np.zeros((2, many, h), "f4"), int(sizes.min(initial=time)), np.ascontiguousarray(p["wh"].transpose(0, 2, 1))
         for t in range(time - 1, -1, -1):
             state, z, r, n, un = saved[t]
             d = carry + dstates[t]
             m = live[None, :, t, None]
-            dnew = d * m
-            dn = dnew * (1 - z) * (1 - n * n)
-            dz = dnew * (state - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], -1)
-            g["wh"] += np.matmul(state.transpose(0, 2, 1), du)
-            carry = d * (1 - m) + dnew * z + np.matmul(du, p["wh"].transpose(0, 2, 1))
-            dins[t, ..., :h], dins[t, ..., h : 2 * h], dins[t, ..., 2 * h :] = dz, dr, dn
+            dnew = d * m if t >= least else d
+            own, du = dins[t], dus[t]
+            np.multiply(dnew * (1 - z), 1 - n * n, out=own[..., 2 * h :])
+            dn = own[..., 2 * h :]
+            np.multiply(dnew * (state - n), z * (1 - z), out=own[..., :h])
+            np.multiply(dn * un, r * (1 - r), out=own[..., h : 2 * h])
+            du[..., : 2 * h] = own[..., : 2 * h]
+            np.multiply(dn, r, out=du[..., 2 * h :])
+            carry = np.matmul(du, back_wh)
+            carry += dnew * z
+            if t >= least:
+                carry += d * (1 - m)
+        before = np.stack([s[0] for s in saved]) if saved else np.zeros((0, 2, many, h), "f4")
+        g["wh"] = np.stack([before[:, k].reshape(-1, h).T @ dus[:, k].reshape(-1, 3 * h) for k in (0, 1)])
         dx = np.zeros((2, len(x), 3 * h), "f4")
         for k in (0, 1):
             ids, rows = summed(order[k].T.ravel(), dins[:, k].reshape(-1, 3 * h))
@@ -207,10 +221,11 @@ class Network:
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network | None:
     """Train on whole documents' labels: a window of a toxic document counts once it leads there.
 
-    In the first epoch every window has its document's label; later, of a toxic document
-    only the windows that score at least half of the best of all its windows do. Every window
-    of every text takes part; a text without words is one empty window, and where no text is,
-    some empty windows stand for clean ones. None without both classes.
+    In the first epoch every window has its document's label. Before each later one all windows
+    of all texts are scored: of a toxic document only those count that score at least half of
+    its best; of the clean windows below EASY one in EASY_SHARE stands for as many. A text
+    without words is one empty window, and where no text is, some empty windows stand for
+    clean ones. None without both classes.
     """
     if len(set(labels)) < 2:
         return None
@@ -224,29 +239,35 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network |
     blank = all(len(ids) for ids in coded)
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(1, windows)))
     epochs = min(epochs, 10 * EPOCHS)
+    flat, spans_of = np.concatenate(coded), [windows_of(len(ids)) for ids in coded]
+    starts = np.cumsum([0, *(len(ids) for ids in coded)]).tolist()
+    spans = [(base + a, base + b) for base, own in zip(starts, spans_of, strict=False) for a, b in own]
+    firsts = np.cumsum([0, *map(len, spans_of)])
+    owner_label = np.repeat(labels, np.diff(firsts))
     for epoch in range(epochs):
-        items = []
-        for ids, label in zip(coded, labels, strict=True):
-            spans = windows_of(len(ids))
-            if label and epoch and len(spans) > 1:
-                scores = _score_spans(net, net.project(net.inputs(feats.take(ids))), np.arange(len(ids)), spans)
-                spans = [s for s, v in zip(spans, scores, strict=True) if v >= scores.max() / 2]
-            items += [(ids[a:b], label) for a, b in spans]
+        weights = np.ones(len(spans), "f4")
+        if epoch and vocab:
+            scores = _score_spans(net, net.project(net.inputs(feats)), flat, spans)
+            best = np.maximum.reduceat(scores, firsts[:-1])
+            weights[(owner_label > 0) & (scores < np.repeat(best, np.diff(firsts)) / 2)] = 0
+            easy = (owner_label == 0) & (scores < EASY)
+            weights[easy] = np.where(net.rng.random(int(easy.sum())) < 1 / EASY_SHARE, EASY_SHARE, 0)
+        items = [(flat[spans[k][0] : spans[k][1]], int(owner_label[k]), float(weights[k])) for k in np.flatnonzero(weights)]
         if blank:  # no label tells what a text without words is
-            items += [(np.zeros(0, "i8"), 0)] * (1 + len(items) // 50)
+            items += [(np.zeros(0, "i8"), 0, 1.0)] * (1 + len(items) // 50)
         net.rng.shuffle(items)
         items = sorted(items, key=lambda x: len(x[0])) if len(items) < BATCH else items
         for at in range(0, len(items), BATCH):
             some = items[at : at + BATCH]
-            sizes = np.array([len(i) for i, _ in some])
-            used, inverse = np.unique(np.concatenate([i for i, _ in some]), return_inverse=True)
+            sizes = np.array([len(i) for i, *_ in some])
+            used, inverse = np.unique(np.concatenate([i for i, *_ in some]), return_inverse=True)
             steps = np.zeros((len(some), sizes.max()), "i8")
             cut = np.cumsum(sizes) - sizes
             for k, (n, c) in enumerate(zip(sizes, cut, strict=True)):
                 steps[k, :n] = inverse[c : c + n]
             words = feats.take(used)
             drop = net.rng.random(len(used)) < WORD_DROP
-            g, dx, _ = net.gradients(net.inputs(words, drop), steps, sizes, np.array([y for _, y in some], "f4"))
+            g, dx, _ = net.gradients(net.inputs(words, drop), steps, sizes, *(np.array([x[k] for x in some], "f4") for k in (1, 2)))
             sparse = {
                 "words": summed(words.whole, dx[:, :WIDTH] * ~drop[:, None]) if len(used) else None,
                 "chars": summed(words.triples, np.repeat(dx[:, WIDTH:] / words.sizes[:, None], words.sizes, 0)) if len(used) else None,
@@ -325,8 +346,8 @@ def held_out_fold() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels of the rows outside the held-out fold that the network is fitted on.
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A written table of doc_id, text, toxic: the rows outside the held-out fold that the network is fitted on.
 
     In the order of a hash of doc_id: at most FIT_TOXIC toxic and FIT_CLEAN other rows, and of
     each class those whose texts together stay within FIT_BYTES. Null texts are empty; of rows
@@ -342,9 +363,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
     kept = materialize(rows.withColumns({"size": F.octet_length("text"), "place": F.xxhash64(F.lit(SEED), "doc_id")}), "toxicity-sample")  # at most the two limits
     before = W.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     fits = kept.select("doc_id", (F.sum("size").over(before) <= FIT_BYTES).alias("fits")).where("fits")
-    found = sorted(kept.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "toxic").collect(), key=lambda r: r["doc_id"])  # bounded in rows and bytes
-    drop_table(kept)
-    return [r["text"] for r in found], [r["toxic"] for r in found]
+    return materialize(kept.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "toxic"), "toxicity-fit")
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """The network fitted on ``labelled_sample``, or none without labels of both classes.
+
+    The sample is bounded, so one task fits the network, and can do so anew if its executor is
+    lost; the weights (about 1 MB, whatever the input) are a written table.
+    """
+    sample = labelled_sample(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
+        net = fit([r[1] for r in rows], [r[2] for r in rows])
+        for name, values in net.p.items() if net else ():
+            yield pa.record_batch({"name": [name], "shape": pa.array([values.shape], pa.list_(pa.int32())), "data": [values.astype("<f4").tobytes()]})
+
+    weights = materialize(sample.coalesce(1).mapInArrow(run, "name string, shape array<int>, data binary"), "toxicity-weights")
+    p = {r["name"]: np.frombuffer(r["data"], "<f4").reshape(r["shape"]) for r in weights.collect()}
+    for done in (sample, weights):
+        drop_table(done)
+    return Network(p=p) if p else None
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -358,7 +399,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     time; a null doc_id isn't held out; repeated rows are scored each, equal texts equally; without
     labels of both classes every score is 0; an empty table gives no rows.
     """
-    net = fit(*labelled_sample(docs, labels))
+    net = trained(docs, labels)
     weights = None if net is None else docs.sparkSession.sparkContext.broadcast(net.p)  # about 1 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +424,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Every column is kept, whatever its name, and no document is shuffled; the cases are those of
     ``score_toxicity``; without labels of both classes every row stays.
     """
-    net = fit(*labelled_sample(docs, labels))
+    net = trained(docs, labels)
     if net is None:
         return docs
     weights = docs.sparkSession.sparkContext.broadcast(net.p)  # about 1 MB, whatever the input

@@ -84,22 +84,24 @@ def test_without_labels(spark):
 def test_held_out_labels_are_never_learned(spark):
     rows = sample(60, 2)
     d = spark.createDataFrame([(i, t, "", "") for i, t, _ in rows], DOCS)
-    texts, _ = T.labelled_sample(d, spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS))
+    texts = [r["text"] for r in T.labelled_sample(d, spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS)).collect()]
     held = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
     assert texts and not held & set(texts)
 
 
-def test_all_windows_of_every_text_train(monkeypatch):
+def test_all_windows_of_every_text_take_part(monkeypatch):
     words = ["alpha", "beta", "gamma"] * 1000
     words[1500:1504] = ["vilely", "vileness"] * 2
+    texts, labels = [" ".join(words), "beta " * 2000, "", "alpha beta"], [1, 0, 0, 1]
+    windows = len(T.windows_of(3000)) + len(T.windows_of(2000)) + 2
     scored, real, trained, gradients = [], T._score_spans, [], T.Network.gradients
     monkeypatch.setattr(T, "_score_spans", lambda net, gates, ids, spans: scored.append(len(spans)) or real(net, gates, ids, spans))
-    monkeypatch.setattr(T.Network, "gradients", lambda net, x, steps, sizes, y: trained.append(len(y)) or gradients(net, x, steps, sizes, y))
+    monkeypatch.setattr(T.Network, "gradients", lambda net, x, steps, sizes, y, w: trained.append((len(y), w)) or gradients(net, x, steps, sizes, y, w))
     monkeypatch.setattr(T, "LEAST_STEPS", 0)
-    T.fit([" ".join(words), "beta " * 2000, "", "alpha beta"], [1, 0, 0, 1], epochs=1)
-    assert sum(trained) == len(T.windows_of(3000)) + len(T.windows_of(2000)) + 2
-    T.fit([" ".join(words), "alpha beta"], [1, 0], epochs=2)
-    assert set(scored) == {len(T.windows_of(3000))}
+    T.fit(texts, labels, epochs=1)
+    assert sum(n for n, _ in trained) == windows and scored == []
+    T.fit(texts, labels, epochs=3)
+    assert set(scored) == {windows} and {float(x) for _, w in trained for x in w} <= {1.0, float(T.EASY_SHARE)}
 
 
 def test_batches_of_any_remainder_and_of_empty_windows_alone(monkeypatch):
@@ -155,7 +157,7 @@ def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
     d = spark.createDataFrame(rows, DOCS)
     l = spark.createDataFrame([(i, 1, i % 2) for i in range(200)] + [(500, 1, 0)], LABELS)
     monkeypatch.setattr(T, "FIT_BYTES", 6000)
-    texts, labels = T.labelled_sample(d, l)
-    size = {y: sum(len(t) for t, k in zip(texts, labels, strict=True) if k == y) for y in (0, 1)}
+    rows = T.labelled_sample(d, l).collect()
+    size = {y: sum(len(r["text"]) for r in rows if r["toxic"] == y) for y in (0, 1)}
     assert 0 < size[0] <= 6000 and 0 < size[1] <= 6000
-    assert (texts, labels) == T.labelled_sample(d.repartition(7), l.repartition(3))
+    assert sorted(rows) == sorted(T.labelled_sample(d.repartition(7), l.repartition(3)).collect())
