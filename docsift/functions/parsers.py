@@ -30,6 +30,9 @@ LIST_SEPARATORS = (",", ";", "\n", "/", "|")
 
 Builder = Callable[..., Column]
 REGISTRY: dict[str, Builder] = {}
+#: Parsers that are Python callables; their builders can't stand in a lambda of a column.
+PYTHON: dict[str, Callable] = {}
+_CHANGES: list[str] = []
 
 
 def null_value() -> Column:
@@ -43,6 +46,11 @@ def value_of(i: Column | None = None, d: Column | None = None, s: Column | None
     return F.when(F.greatest(*[c.isNotNull() for c in columns.values()]), F.struct(*[c.alias(k) for k, c in columns.items()]))
 
 
+def registry_version() -> int:
+    """Grows with every change of the registry, so that plans built before it aren't used after."""
+    return len(_CHANGES)
+
+
 def register(name: str) -> Callable[[Builder], Builder]:
     """Add an expression builder (text column, keyword arguments) by name; the last one of a name wins."""
 
@@ -50,42 +58,88 @@ def register(name: str) -> Callable[[Builder], Builder]:
         if name in REGISTRY:
             log.warning("parser %s is replaced", name)
         REGISTRY[name] = builder
+        PYTHON.pop(name, None)
+        _CHANGES.append(name)
         return builder
 
     return add
 
 
-def register_python(name: str, parse: Callable[[str], str | None]) -> None:
-    """Add a Python callable as a string parser; it runs as an Arrow UDF outside lambdas."""
-    @pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(x):
-            try:
-                return None if x is None else parse(x)
-            except Exception:  # noqa: BLE001  a parser never fails a document
-                return None
+def register_python(name: str, parse: Callable) -> None:
+    """Add a Python callable (text, keyword arguments) as a parser: it may return a string, a number or a list.
+
+    A null text, and one that the callable fails on, has no value. It runs in Arrow batches.
+    """
+
+    def builder(col: Column, **args) -> Column:
+        one = _value(parse, args)
+
+        @pandas_udf(f"array<{VALUE}>")
+        def run(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda x: [one(x)])
+
+        return F.get(run(col), F.lit(0))
+
+    builder.__signature__ = inspect.signature(parse)
+    register(name)(builder)
+    PYTHON[name] = parse
+
+
+def unregister(name: str) -> None:
+    REGISTRY.pop(name, None)
+    PYTHON.pop(name, None)
+    _CHANGES.append(name)
+
 
-        return texts.map(one)
+def _value(parse: Callable, args: dict) -> Callable[[str | None], dict | None]:
+    """What gives a text's VALUE by a Python callable."""
 
-    REGISTRY[name] = lambda col: value_of(s=run(col))
+    def member(x) -> dict | None:
+        if x is None or isinstance(x, float) and x != x:
+            return None
+        if isinstance(x, (list, tuple)):
+            found = {"a": [str(v) for v in x]}
+        elif isinstance(x, (int, float)) and not isinstance(x, bool):
+            found = {"i": int(x)} if abs(x) < 2**63 and x == int(x) else {"d": float(x)}
+        else:
+            found = {"s": str(x)}
+        return {"i": None, "d": None, "s": None, "a": None} | found
+
+    def one(x: str | None) -> dict | None:
+        try:
+            return None if x is None else member(parse(x, **args))
+        except Exception:  # noqa: BLE001  a parser never fails a document
+            return None
+
+    return one
 
 
 def available() -> list[str]:
     return sorted(REGISTRY)
 
 
-def parse(name: str, col: Column, args: dict | None = None) -> Column:
-    """The value of a text column by a parser; an unknown name means text_parser."""
-    builder = REGISTRY.get(name)
-    if builder is None:
+def _known(name: str, args: dict) -> str | None:
+    """The parser that a name means (text_parser if unknown); null if it lacks one of the arguments."""
+    if name not in REGISTRY:
         log.warning("unknown parser %s, text_parser is used", name)
-        builder = REGISTRY["text_parser"]
-    args = args or {}
-    known = list(inspect.signature(builder).parameters)[1:]
-    if any(a not in known for a in args):
+        name = "text_parser"
+    given = inspect.signature(REGISTRY[name]).parameters
+    known = list(given)[1:]
+    if any(a not in known for a in args) and not any(p.kind is p.VAR_KEYWORD for p in given.values()):
         log.warning("parser %s has no argument %s: its values are null", name, sorted(set(args) - set(known)))
-        return null_value()
-    return builder(col, **args)
+        return None
+    return name
+
+
+def parse(name: str, col: Column, args: dict | None = None) -> Column:
+    """The value of a text column by a parser; an unknown name means text_parser."""
+    found = _known(name, args or {})
+    return null_value() if found is None else REGISTRY[found](col, **(args or {}))
+
+
+def python_values(name: str, args: dict | None = None) -> Callable[[str | None], dict | None]:
+    """What gives a text's VALUE by a registered Python callable, for use in a worker."""
+    return _value(PYTHON[name], args or {}) if _known(name, args or {}) else lambda _: None
 
 
 def parse_many(jobs: Sequence[tuple[str, str, Column, dict]]) -> list[Column]:

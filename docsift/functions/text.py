@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{1c}-\x{1f}]"
 LABEL_SEPARATORS = ":-–—|="
 VALUE_STRIP = " \t\r\n:;.-–—|"
-#: What recognisers take digits for.
+#: What recognisers take digits for.
 DIGIT_LOOKALIKES = {"O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I": "1", "|": "1", "!": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "b": "6"}
 RULES = "|!"
+#: Where Python's str.splitlines cuts.
+LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+#: Hangul syllables and how many of them share a leading letter.
+HANGUL, PER_LEAD = (0xAC00, 0xD7A3), 588
 
 
 def let(col: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,11 +33,11 @@ def let(col: Column, body: Callable[[Column], Column]) -> Column:
 
 @cache
 def fold_tables() -> tuple[str, str]:
-    """(from, to): every accented character of the basic plane but Hangul, and its base letter."""
+    """(from, to): every accented character but Hangul, and its base letter."""
     source, target = ["đ", "Đ"], ["d", "D"]
-    for code in range(0x80, 0xFFFF):
+    for code in range(0x80, 0x30000):  # no character beyond these planes has a decomposition
         char = chr(code)
-        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF or char in "đĐ":
+        if HANGUL[0] <= code <= HANGUL[1] or 0xD800 <= code <= 0xDFFF or char in "đĐ":
             continue
         base = [c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c)]
         if base and base[0] != char:
@@ -45,7 +49,14 @@ def fold_tables() -> tuple[str, str]:
 @cache
 def _fold_map() -> dict[int, str]:
     source, target = fold_tables()
-    return dict(zip(map(ord, source), target, strict=True))
+    hangul = {code: hangul_leads()[(code - HANGUL[0]) // PER_LEAD] for code in range(HANGUL[0], HANGUL[1] + 1)}
+    return dict(zip(map(ord, source), target, strict=True)) | hangul
+
+
+@cache
+def hangul_leads() -> str:
+    """The leading letters of the syllables, in order."""
+    return "".join(unicodedata.normalize("NFD", chr(code))[0] for code in range(HANGUL[0], HANGUL[1] + 1, PER_LEAD))
 
 
 def fold_text(text: str) -> str:
@@ -54,8 +65,14 @@ def fold_text(text: str) -> str:
 
 
 def fold_accents(col: Column) -> Column:
-    """Base letters for accented ones; never changes the number of characters."""
-    return F.translate(col, *fold_tables())
+    """Base letters for accented ones; never changes the number of characters.
+
+    A Hangul syllable becomes its leading letter, which is reckoned from its code point.
+    """
+    first, last = map(chr, HANGUL)
+    lead = lambda c: F.substring(F.lit(hangul_leads()), F.floor((F.ascii(c) - HANGUL[0]) / PER_LEAD).cast("int") + 1, F.lit(1))
+    without = lambda c: F.concat_ws("", F.transform(F.split(c, ""), lambda x: F.when(x.between(first, last), lead(x)).otherwise(x)))
+    return let(F.translate(col, *fold_tables()), lambda c: F.when(c.rlike(f"[{first}-{last}]"), without(c)).otherwise(c))
 
 
 def folded(col: Column) -> Column:
@@ -174,5 +191,19 @@ def cut_at_label(col: Column, pattern: str | None) -> Column:
 
 def split_lines(col: Column) -> Column:
     """Non-blank lines, stripped, cut where Python's str.splitlines does."""
-    lines = F.split(F.coalesce(col, F.lit("")), r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]")
+    lines = F.split(F.coalesce(col, F.lit("")), LINE_END)
     return F.filter(F.transform(lines, strip), lambda x: x != "")
+
+
+def shown_number(col: Column) -> Column:
+    """A double as Python and JSON print it: digits without an exponent from 1e-4 up to 1e16."""
+
+    def shown(text: Column) -> Column:
+        size = F.abs(text.cast("double"))
+        plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"0+\z", ""), r"\.\z", ".0")
+        sign, power = F.when(text.contains("E-"), F.lit("e-")).otherwise(F.lit("e+")), F.regexp_extract(text, r"E-?(\d+)\z", 1)
+        digits = F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), r"\.0\z", "")
+        far = F.concat(digits, sign, F.when(F.length(power) < 2, F.lit("0")).otherwise(F.lit("")), power)
+        return F.when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(far)
+
+    return let(col.cast("string"), shown)
