@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where none is set, a temporary folder is used if the driver is also the only executor
+    (a local master); on a cluster RuntimeError is raised, as executors wouldn't see it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="docsift-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -27,13 +33,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back, which cuts the lineage."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._docsift_path = path
+    return table
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``materialize`` made and nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        delete(df.sparkSession, path)
+    delete(df.sparkSession, df._docsift_path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
