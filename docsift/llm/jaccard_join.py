@@ -22,8 +22,10 @@ PERCENT = 80
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Tokens in at most so many documents pair them directly; others make families.
 LIGHT = 8
-#: Text bytes of a work group, and of the texts whose shingles one counting bucket holds.
+#: Text bytes of a work group, and of the texts whose shingles one counting bucket holds, up to USUAL_BYTES of input.
 GROUP_BYTES, BUCKET_BYTES = 2 << 20, 12 << 20
+#: Beyond it both grow with the square root of the input, up to so many times: what fits a task's memory.
+USUAL_BYTES, MOST_TIMES = 64 << 30, 8
 #: Documents and shingles of one block of a family.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Frequencies are exact up to here, then in eighths of a doubling.
@@ -71,8 +73,18 @@ def choose_matches(n: int, rare: int, frequencies: np.ndarray) -> tuple[int, int
     return best[1], best[2]
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """A written table of work groups: g, bytes, doc_id (list), text (list); each about GROUP_BYTES."""
+def work_sizes(size: int) -> tuple[int, int]:
+    """(text bytes of a work group, bits of a counting bucket's number) for so many bytes of text.
+
+    A group has an entry for each bucket that it has shingles of; sizes that grow with the
+    input keep an entry's shingles many for longer. There are never more entries than shingles.
+    """
+    times = min(MOST_TIMES, max(1.0, math.sqrt(size / USUAL_BYTES)))
+    return int(GROUP_BYTES * times), max(4, math.ceil(math.log2(max(1, size / (BUCKET_BYTES * times)))))
+
+
+def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """A written table of work groups: g, bytes, doc_id (list), text (list); each about group_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()
@@ -85,10 +97,10 @@ def grouped(docs: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array([base + n]), pa.array([size]), *lists], names=["g", "bytes", "doc_id", "text"])
 
         for batch in batches:
-            for some in slices([batch], limit=GROUP_BYTES // 4):
+            for some in slices([batch], limit=group_bytes // 4):
                 held.append(some)
                 size += some.column("text").nbytes
-                if size >= GROUP_BYTES:
+                if size >= group_bytes:
                     yield pack()
                     n, held, size = n + 1, [], 0
         if size or held:
@@ -114,9 +126,9 @@ def count_tokens(groups: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for g, texts in zip(batch.column("g").to_pylist(), batch.column("text"), strict=True):
                 keys, counts = np.unique(_keys(shingle_sets(texts.values)[0], bits), return_counts=True)
-                edges = np.searchsorted(keys >> np.uint64(32), np.arange((1 << bits) + 1, dtype="u8"))
+                of, starts = np.unique(keys >> np.uint64(32), return_index=True)
                 prints, counts = keys.astype("<u4"), np.minimum(counts, 2**16 - 1).astype("<u2")
-                rows = [(b, prints[x:y].tobytes(), counts[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+                rows = [(b, prints[x:y].tobytes(), counts[x:y].tobytes()) for b, x, y in zip(of.tolist(), starts, np.append(starts[1:], len(keys)), strict=False)]
                 if rows:
                     buckets, ids, sizes = zip(*rows, strict=True)
                     yield pa.record_batch([pa.array([g] * len(rows)), pa.array(buckets, pa.int32()), pa.array(ids), pa.array(sizes)], names=["g", "bucket", "prints", "counts"])
@@ -198,8 +210,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def families(reps: DataFrame) -> DataFrame:
-    """(doc_id, family, block, blocks) of documents with a prefix token of more than LIGHT documents.
+def families(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, family, block, blocks) of documents with a prefix token of more than LIGHT documents, and the tables it reads.
 
     A family is a component of documents and such tokens, found without pairing documents;
     its blocks are of about BLOCK_DOCS documents and BLOCK_SHINGLES shingles.
@@ -213,8 +225,10 @@ def families(reps: DataFrame) -> DataFrame:
     members = materialize(members.distinct(), "jaccard-members")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
     sizes = sizes.select("family", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = members.join(materialize(sizes, "jaccard-sizes"), "family")
-    return placed.select("doc_id", "family", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    sizes = materialize(sizes, "jaccard-sizes")
+    placed = members.join(sizes, "family")
+    placed = placed.select("doc_id", "family", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    return placed, [roots, members, sizes]
 
 
 def family_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -312,9 +326,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     compared block by block, so that a large group of near copies emits links but no pairs.
     """
     spark = docs.sparkSession
-    groups = grouped(docs)
-    size = groups.agg(F.sum("bytes")).first()[0] or 0
-    bits = max(4, min(16, math.ceil(math.log2(max(1, size / BUCKET_BYTES)))))
+    group_bytes, bits = work_sizes(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    groups = grouped(docs, group_bytes)
     sets = materialize(document_sets(groups, count_tokens(groups, bits), bits), "jaccard-sets")
     drop_table(groups)
     release(spark)
@@ -329,10 +342,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stored = stored.select("doc_id", "n", "matches", "prefix", "shingles")
     light = materialize(light_pairs(reps), "jaccard-pairs")
     links = verified(light, stored.select("doc_id", "shingles"))
-    placed = families(reps)
+    placed, read = families(reps)
     links = links.unionByName(family_links(placed, stored)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = connected_components(links.unionByName(copies))
-    for done in (first, reps, light):
+    for done in (first, reps, light, *read):
         drop_table(done)
     least = materialize(found.groupBy("root").agg(F.min("node").alias("component_id")), "jaccard-least")
     of_doc = found.join(least, "root").select(F.col("node").alias("doc_id"), "component_id")

@@ -39,8 +39,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` made and nothing reads any more."""
-    delete(df.sparkSession, df._docsift_path)
+    """Delete a table that ``materialize`` made and nothing reads any more; other tables stay."""
+    if path := vars(df).get("_docsift_path"):
+        delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
