@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import string
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from unicodedata import is_normalized
 
 import numpy as np
@@ -28,6 +29,8 @@ CACHED_WORDS = 600_000
 PUNCTUATION = string.punctuation
 #: Rows and characters encoded at a time.
 SLICE_ROWS, SLICE_CHARS = 512, 4_000_000
+#: A file is closed beyond so many ids, and a task's share of the text is about so many bytes at most.
+FILE_IDS, TASK_BYTES = 64 << 20, 256 << 20
 #: Sequences per record batch of a file.
 BATCH_SEQUENCES = 256
 
@@ -158,8 +161,10 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start)
 
 
-def write_stream(stream, ids_of_docs: Iterator[tuple[int | None, bytes]], sequence: int, dtype: str) -> tuple[int, int]:
-    """Write documents' ids as one Arrow stream; returns (documents, ids).
+def write_stream(stream, ids_of_docs: Iterator[tuple[int | None, bytes]], sequence: int, dtype: str, most_ids: int = FILE_IDS) -> tuple[int, int, list[int]]:
+    """Write documents' ids as one Arrow stream, until none is left or most_ids are written.
+
+    Returns the documents, their ids and the place of each batch in the stream.
 
     Every batch has the columns ids (fixed-size list of ``sequence``), mask (the same, true
     for real ids) and docs (list of struct(doc_id, n): the documents that end in the row, in
@@ -173,10 +178,12 @@ def write_stream(stream, ids_of_docs: Iterator[tuple[int | None, bytes]], sequen
     writer = pa.ipc.new_stream(stream, schema)
     held: list[np.ndarray] = []
     ends: list[tuple[int, int | None, int]] = []
+    places: list[int] = []
     count = total = in_held = 0
 
     def flush(rows: int, real: int) -> None:
         nonlocal held, in_held, ends
+        places.append(stream.tell())
         flat = np.concatenate(held) if held else np.zeros(0, width)
         used, rest = flat[: rows * sequence], flat[rows * sequence :]
         padded = np.zeros(rows * sequence, width)
@@ -210,10 +217,12 @@ def write_stream(stream, ids_of_docs: Iterator[tuple[int | None, bytes]], sequen
         ends.append((in_held, doc, len(part)))
         while in_held >= BATCH_SEQUENCES * sequence:
             flush(BATCH_SEQUENCES, BATCH_SEQUENCES * sequence)
+        if total >= most_ids:
+            break
     if ends or in_held:
         flush(max(1, -(-in_held // sequence)), in_held)
     writer.close()
-    return count, total
+    return count, total, places
 
 
 def read_stream(stream) -> Iterator[tuple[int | None, int, bytes]]:
@@ -231,30 +240,43 @@ def read_stream(stream) -> Iterator[tuple[int | None, int, bytes]]:
         carried = data[at:]
 
 
-def sequence_at(path: str, index: int) -> tuple[np.ndarray, np.ndarray]:
-    """One sequence and its mask out of a mapped file; the ids are a view of the file's bytes."""
-    with pa.memory_map(path) as source:
-        for batch in pa.ipc.open_stream(source):
-            if index < batch.num_rows:
-                size = batch.schema.field("ids").type.list_size
-                ids = batch.column("ids").flatten().slice(index * size, size)
-                return ids.to_numpy(), batch.column("mask").flatten().slice(index * size, size).to_numpy(zero_copy_only=False)
-            index -= batch.num_rows
-    raise IndexError(index)
-
+def sequence_at(path: str, index: int, places: Sequence[int], sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
+    """One sequence and its mask out of a mapped file, by the places of its batches (``write_stream``, a manifest's).
 
-def write_token_files(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, partitions: int | None = None) -> DataFrame:
+    Only the batch that holds the sequence is looked at; the ids are a view of the file's bytes.
+    """
+    batch, row = divmod(index, BATCH_SEQUENCES)
+    if index < 0 or batch >= len(places):
+        raise IndexError(index)
+    with pa.memory_map(path) as source:
+        schema = pa.ipc.open_stream(source).schema
+        source.seek(places[batch])
+        message = pa.ipc.read_message(source)
+        if message.type == "schema":  # stands before the first batch
+            message = pa.ipc.read_message(source)
+        found = pa.ipc.read_record_batch(message, schema)
+    if row >= found.num_rows:
+        raise IndexError(index)
+    ids = found.column("ids").flatten().slice(row * sequence, sequence)
+    return ids.to_numpy(), found.column("mask").flatten().slice(row * sequence, sequence).to_numpy(zero_copy_only=False)
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, partitions: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Tokenise whole texts and write Arrow stream files in ascending doc_id order.
 
-    Returns the manifest (a written table): file_no, path, docs, ids; files follow one
-    another in doc_id order. Each task streams its range of ids into one file under a name
-    of its own attempt; only files in the manifest count, so a retried task leaves no trace
-    in the result. Ids are stored as uint16 where the vocabulary allows. Null texts are empty
+    Returns the manifest (a written table): file_no, path, docs, ids, places (of the batches);
+    files follow one another in doc_id order. There are as many tasks as shuffle partitions, or
+    more, so that none has over about TASK_BYTES of text. Each task streams its range of ids into
+    files of about file_ids, under names of its own attempt; only files in the manifest
+    count, so a retried task leaves no trace in the result. A very long text is one document
+    of one file, which is longer by it. Ids are stored as uint16 where the vocabulary allows. Null texts are empty
     (the end id alone); null doc_ids come first; repeated rows are kept.
     """
     spark = docs.sparkSession
     root = new_path(spark, "token-files")
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not partitions:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     end = np.array([END_ID], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,17 +291,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE,
         number = TaskContext.get().partitionId()
         fs, folder = open_fs(root)
         fs.create_dir(folder, recursive=True)
-        name = f"{number:06d}-{uuid.uuid4().hex}.arrows"
-        with fs.open_output_stream(f"{folder}/{name}") as out:
-            count, total = write_stream(out, documents(), sequence, dtype)
-        if count:
-            yield pa.record_batch({"file_no": [number], "path": [f"{root}/{name}"], "docs": [count], "ids": [total]})
-        else:
-            fs.delete_file(f"{folder}/{name}")
+        left = documents()
+        for roll in itertools.count():
+            first = next(left, None)
+            if first is None:
+                return
+            name = f"{number:06d}-{roll:06d}-{uuid.uuid4().hex}.arrows"
+            with fs.open_output_stream(f"{folder}/{name}") as out:
+                count, total, places = write_stream(out, itertools.chain([first], left), sequence, dtype, file_ids)
+            yield pa.record_batch({"file_no": [(number << 32) + roll], "path": [f"{root}/{name}"], "docs": [count], "ids": [total], "places": pa.array([places], pa.list_(pa.int64()))})
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))  # splits a doc_id of many rows
-    ranged = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    written = ranged.mapInArrow(write, "file_no long, path string, docs long, ids long")
+    ranged = keyed.repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    written = ranged.mapInArrow(write, "file_no long, path string, docs long, ids long, places array<long>")
     return materialize(written, "token-manifest")
 
 

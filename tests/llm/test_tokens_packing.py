@@ -1,7 +1,10 @@
+import tempfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,11 +52,42 @@ def test_token_files(spark):
         at += r["n_tokens"]
     order = [-5 if r["doc_id"] is None else r["doc_id"] for r in sorted(found, key=lambda r: r["start"])]
     assert order == sorted(order)
-    path = max(manifest.collect(), key=lambda r: r["ids"])["path"].removeprefix("file://").removeprefix("file:")
-    sequence, mask = tokens.sequence_at(path, 1)
-    assert sequence.dtype == np.uint16 and len(sequence) == len(mask) == 64 and mask.all()
-    with pytest.raises(IndexError):
-        tokens.sequence_at(path, 10**6)
+    flat = np.concatenate([x for _, x in sorted(ids, key=lambda i: -5 if i[0] is None else i[0])])
+    assert sum(r["ids"] for r in manifest.collect()) == len(flat)
+
+
+def test_any_sequence_is_read_by_its_batch_alone(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_SEQUENCES", 3)
+    docs = [(i, f"word{i} and " * (50 * i)) for i in range(12)]
+    flat = np.concatenate([[*plain_ids(t), 1] for _, t in docs])
+    out = pa.BufferOutputStream()
+    packed = iter([(i, np.array([*plain_ids(t), 1], "<u4").tobytes()) for i, t in docs])
+    count, total, places = tokens.write_stream(out, packed, 16, "<u2")
+    assert (count, total) == (12, len(flat)) and len(places) == -(-len(flat) // 48)
+    path = f"{tempfile.mkdtemp()}/x.arrows"
+    Path(path).write_bytes(out.getvalue())
+    for k in (0, 1, 2, 3, 7, len(flat) // 16 - 1):
+        sequence, mask = tokens.sequence_at(path, k, places, 16)
+        assert sequence.dtype == np.uint16 and mask.all() and not sequence.flags.owndata and sequence.tolist() == flat[16 * k : 16 * k + 16].tolist()
+    last, mask = tokens.sequence_at(path, -(-len(flat) // 16) - 1, places, 16)
+    assert last[mask].tolist() == flat[len(flat) // 16 * 16 :].tolist() or len(flat) % 16 == 0
+    for k in (-1, -(-len(flat) // 16), 10**6):
+        with pytest.raises(IndexError):
+            tokens.sequence_at(path, k, places, 16)
+
+
+def test_files_are_closed_beyond_their_size(spark):
+    rows = cases() + [(200 + i, "some words of it " * 30, "", "") for i in range(60)]
+    manifest = tokens.write_token_files(spark.createDataFrame(rows, SCHEMA), PATH, sequence=64, partitions=2, file_ids=500)
+    files = manifest.collect()
+    assert len(files) > 6 and all(r["ids"] < 500 + 10_000 * (r["docs"] < 60) + 30_000 for r in files)
+    found = sorted(tokens.read_token_files(manifest).collect(), key=lambda r: r["start"])
+    ids = sorted(((-5 if d is None else d), len(plain_ids(t)) + 1) for d, t, _, _ in rows)
+    assert sorted((-5 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in found) == ids
+    at = 0
+    for r in found:
+        assert r["start"] == at
+        at += r["n_tokens"]
 
 
 def test_token_files_of_an_empty_table(spark):
