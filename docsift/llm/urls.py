@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions.text import let
 from docsift.llm.components import connected_components
-from docsift.llm.shared import materialize
+from docsift.llm.shared import drop_table, materialize
 
 #: (verdict, rule); a rule is a host and a path: what stands before and from its first slash.
 RULES = (
@@ -25,6 +25,9 @@ _TAG = r"(?is)<(?:link|meta|base)\b[^>]*>"
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)\bcontent\s*=\s*["'][^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
+#: Comments, and elements whose text is no markup; one that isn't closed reaches to the end.
+_NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|template|noframes)\b.*?(?:</\1\b|\z)"
+
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
@@ -56,9 +59,12 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): page url to each canonical-link target and each meta-refresh target in its html.
 
     Targets are resolved against the page's url or its base element, fragments are cut.
-    Targets of other schemes without ``//`` are no pages. Null urls or html give none.
+    Targets of other schemes without ``//`` are no pages. Tags in comments, scripts and other
+    text that is no markup don't count. Null urls or html give none.
     """
-    all_tags = pages.select("url", F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)).alias("tags")).where("url IS NOT NULL AND size(tags) > 0")
+    linked = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)\bcanonical\b|\brefresh\b"))  # few pages; only these are taken apart
+    bare = F.regexp_replace("html", _NO_MARKUP, " ")
+    all_tags = linked.select("url", F.regexp_extract_all(bare, F.lit(_TAG), F.lit(0)).alias("tags")).where("size(tags) > 0")
     bases = F.filter("tags", lambda t: t.rlike(r"(?i)^<base\b") & (F.regexp_extract(t, _HREF, 1) != ""))
     tags = all_tags.select("url", F.regexp_extract(F.get(bases, F.lit(0)), _HREF, 1).alias("base"), F.explode("tags").alias("tag"))
     kind = F.lower("tag")
@@ -149,6 +155,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redir
     )
     blocked = materialize(of_root.where("said = 1"), "url-roots")  # both sides plain tables: AQE can split a hot root
     spread = materialize(parts.join(blocked, "root").select("node", "said"), "url-blocked")
+    drop_table(blocked)
     out = judged.join(spread, "node", "left")
     return out.select(
         "page_id",

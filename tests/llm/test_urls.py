@@ -1,3 +1,5 @@
+import random
+
 from docsift.llm.urls import judge_urls
 
 SCHEMA = "page_id long, url string, html string, host string"
@@ -75,3 +77,35 @@ def test_relative_targets_and_case(spark):
     ]
     got = judged(spark, rows)
     assert {k for k, v in got.items() if v[3] == "block"} == set(range(1, 24)) - {14, 17, 18}
+
+
+def test_links_in_comments_and_scripts_don_t_count(spark):
+    bad = '<link rel="canonical" href="http://x.org/es/">'
+    rows = [
+        (1, "http://a.info/", f"<!-- {bad} -->"), (2, "http://b.info/", f"<script>x = '{bad}'</script >"), (3, "http://c.info/", f"<style>\n{bad}</style><p>"), (4, "http://d.info/", f"<!-- {bad}"),
+        (5, "http://e.info/", f"<!-- x --><script>1</script>{bad}<!-- y -->"), (6, "http://f.info/", f"<scripty>{bad}"), (7, "http://g.info/", "<p>" * 200_000 + bad), (8, "http://h.info/", f"<TITLE>{bad}</TITLE>"),
+    ]
+    got = judged(spark, rows)
+    assert {k for k, v in got.items() if v[3] == "block"} == {5, 6, 7}
+
+
+def test_components_against_brute_force(spark):
+    rng, rows, up = random.Random(5), [], {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    hosts = [f"http://n{k}.info/" for k in range(60)] + ["http://x.org/es/1", "http://y.com/en/", "http://example.com/en/7", "http://z.net/de/2"]
+    for k in range(90):
+        a, b = rng.sample(hosts, 2)
+        kind = rng.choice(['<link rel="canonical" href="{}">', "<meta http-equiv=refresh content='0; url={}'>", "<a href={}>"])
+        rows.append((k, a, kind.format(b)))
+        if "<a" not in kind:
+            up[find(a)] = find(b)
+    own = {"http://x.org/es/1": "block", "http://y.com/en/": "block", "http://example.com/en/7": "allow", "http://z.net/de/2": "allow"}
+    got = judged(spark, rows)
+    for k, url, _ in rows:
+        said = {own[x] for x in own if find(x) == find(url)}
+        assert got[k][3] == (own.get(url) or ("block" if said == {"block"} else "allow")), url
