@@ -115,3 +115,29 @@ def cell_at(cells: DataFrame, places: DataFrame, key: str = "doc_id") -> DataFra
     c = cells.select(F.col(key).alias("_k"), "ord", "row_span", "col_span", "text", F.col("row").alias("_r"), F.col("col").alias("_c"))
     on = (F.col(key) == F.col("_k")) & F.expr("row >= _r AND row < _r + row_span AND col >= _c AND col < _c + col_span")
     return places.join(c, on, "left").groupBy(key, "row", "col").agg(F.min_by("text", "ord").alias("text"))
+
+
+def row_cells(cells: Column, row: Column | int) -> Column:
+    """The cells of a table that cover a row, by column; a merged cell is in every row it covers."""
+    return _covering(cells, row, "row", "col")
+
+
+def column_cells(cells: Column, col: Column | int) -> Column:
+    """The cells of a table that cover a column, by row."""
+    return _covering(cells, col, "col", "row")
+
+
+def iter_cells(cells: Column) -> Column:
+    """All cells by row and column."""
+    return F.array_sort(cells)
+
+
+def _covering(cells: Column, at: Column | int, of: str, by: str) -> Column:
+    at = F.lit(at) if isinstance(at, int) else at
+    found = F.filter(cells, lambda c: (c[of] <= at) & (at < c[of] + c[of + "_span"]))
+    return F.array_sort(found, lambda a, b: F.when(a[by] < b[by], -1).when(a[by] > b[by], 1).otherwise(0))
+
+
+def has_table(cells: Column) -> Column:
+    """Some cell holds text."""
+    return F.coalesce(F.exists(cells, lambda c: F.trim(F.coalesce(c["text"], F.lit(""))) != ""), F.lit(False))

@@ -8,20 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Fixed values.
 LINE_OVERLAP, WIDE, CELL_OVERLAP, REGION_SHARE = 0.4, 0.45, 0.30, 0.5
 MAX_COLUMNS, MIN_RULES, TOLERANCE = 24, 3, 5.0
+#: How far a strategy's table is trusted; that of recognised cells is the share of tokens in them.
+RULED_CONFIDENCE, CLUSTER_CONFIDENCE = 0.8, 0.5
 
-Token = dict  # text, x1, y1, x2, y2
+Token = dict  # text, x1, y1, x2, y2, confidence
 Box = tuple[float, float, float, float]
-TOKENS = "array<struct<tok:bigint,text:string,x1:double,y1:double,x2:double,y2:double>>"
+TOKENS = "array<struct<tok:bigint,text:string,x1:double,y1:double,x2:double,y2:double,confidence:double>>"
 TABLE = (
     "cells array<struct<row:int,col:int,row_span:int,col_span:int,text:string>>, n_rows int, n_cols int, raw_text string, "
-    "strategy string, warnings array<string>"
+    "strategy string, confidence double, warnings array<string>"
 )
 
 
@@ -30,18 +34,24 @@ class NoTable(Exception):
 
 
 def in_lines(tokens: list[Token], least: float = LINE_OVERLAP) -> list[list[Token]]:
-    """Lines in reading order: a token joins the first line whose last token overlaps it enough in height."""
+    """Lines in reading order: a token joins the first line whose last token overlaps it enough in height.
+
+    Tokens come by their tops, so a line whose last token ends above the next top is closed for good.
+    """
     lines: list[list[Token]] = []
+    still_open: list[list[Token]] = []
     for t in sorted(tokens, key=lambda t: (t["y1"], t["x1"])):
-        for line in lines:
+        still_open = [line for line in still_open if line[-1]["y2"] > t["y1"]]
+        for line in still_open:
             last = line[-1]
             common = min(last["y2"], t["y2"]) - max(last["y1"], t["y1"])
             smaller = min(last["y2"] - last["y1"], t["y2"] - t["y1"])
-            if common > 0 and smaller > 0 and common / smaller >= least:
+            if smaller > 0 and common / smaller >= least:
                 line.append(t)
                 break
         else:
             lines.append([t])
+            still_open.append(lines[-1])
     for line in lines:
         line.sort(key=lambda t: t["x1"])
     return sorted(lines, key=lambda line: min(t["y1"] for t in line))
@@ -52,24 +62,20 @@ def joined(tokens: list[Token], between: str = " ") -> str:
     return between.join(p for p in parts if p).strip()
 
 
-def upper_median(values: list[float]) -> float:
-    return sorted(values)[len(values) // 2]
-
-
 def bands_of(tokens: list[Token]) -> list[tuple[float, float]]:
     """Column intervals: the x extents of tokens that aren't too wide, merged over small gaps."""
     if not tokens:
         return []
-    wide = WIDE * max(1.0, max(t["x2"] for t in tokens) - min(t["x1"] for t in tokens))
-    some = [t for t in tokens if t["x2"] - t["x1"] <= wide] or tokens
-    gap = max(6.0, 0.9 * upper_median([t["y2"] - t["y1"] for t in some]))
-    out: list[list[float]] = []
-    for a, b in sorted(((t["x1"], t["x2"]) for t in some), key=lambda i: i[0]):
-        if out and a <= out[-1][1] + gap:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    x1, x2, height = (np.array(v, "f8") for v in zip(*((t["x1"], t["x2"], t["y2"] - t["y1"]) for t in tokens), strict=True))
+    narrow = x2 - x1 <= WIDE * max(1.0, x2.max() - x1.min())
+    if narrow.any():
+        x1, x2, height = x1[narrow], x2[narrow], height[narrow]
+    gap = max(6.0, 0.9 * float(np.sort(height)[len(height) // 2]))
+    order = np.argsort(x1, kind="stable")
+    x1, x2 = x1[order], x2[order]
+    reach = np.maximum.accumulate(x2)
+    cuts = np.flatnonzero(np.concatenate([[True], x1[1:] > reach[:-1] + gap]))
+    return list(zip(x1[cuts].tolist(), np.maximum.reduceat(x2, cuts).tolist(), strict=True))
 
 
 def first_best(scores: list[float]) -> int:
@@ -97,14 +103,21 @@ def cells_of(placed: dict[tuple[int, int], list[Token]]) -> list[dict]:
     return [{"row": r, "col": c, "row_span": 1, "col_span": 1, "text": joined(ts)} for (r, c), ts in sorted(placed.items())]
 
 
-def cluster(tokens: list[Token]) -> tuple[list[dict], int, int]:
-    """(cells, rows, columns): rows are lines, columns are bands. NoTable below two tokens or lines."""
+def cluster(tokens: list[Token], warnings: list[str] | None = None) -> tuple[list[dict], int, int]:
+    """(cells, rows, columns): rows are lines, columns are bands. NoTable below two tokens or lines.
+
+    Of more than MAX_COLUMNS bands the first are columns, which is warned of; tokens beyond
+    go to the band that is best for them.
+    """
     if len(tokens) < 2:
         raise NoTable(f"{len(tokens)} tokens don't make a table")
     lines = in_lines(tokens)
     if len(lines) < 2:
         raise NoTable("one line doesn't make a table")
-    bands = bands_of(tokens)[:MAX_COLUMNS]
+    bands = bands_of(tokens)
+    if len(bands) > MAX_COLUMNS and warnings is not None:
+        warnings.append(f"cluster: {len(bands)} columns, the first {MAX_COLUMNS} are kept")
+    bands = bands[:MAX_COLUMNS]
     placed: dict[tuple[int, int], list[Token]] = {}
     for r, line in enumerate(lines):
         for t in line:
@@ -116,20 +129,15 @@ def densest_band(rules: list[float], segments: list[dict]) -> tuple[float, float
     """The longest first run of row bands that most vertical rules cross; none if all bands are alike."""
     if len(rules) < 2 or not segments:
         return None
-    counts = [sum(s["y0"] <= a + TOLERANCE and s["y1"] >= b - TOLERANCE for s in segments) for a, b in zip(rules, rules[1:], strict=False)]
-    most = max(counts)
-    if most == min(counts):
+    edges = np.array(rules, "f8")
+    tops, ends = (np.array([s[k] for s in segments], "f8")[:, None] for k in ("y0", "y1"))
+    counts = ((tops <= edges[:-1] + TOLERANCE) & (ends >= edges[1:] - TOLERANCE)).sum(0)
+    if counts.max() == counts.min():
         return None
-    runs, at = [], 0
-    while at < len(counts):
-        end = at
-        while end < len(counts) and counts[end] == most:
-            end += 1
-        if end > at:
-            runs.append((end - at, -at))
-        at = max(end, at + 1)
-    size, start = max(runs)
-    return rules[-start], rules[-start + size]
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], counts == counts.max(), [0]]).astype("i1")))
+    firsts, lasts = turns[::2], turns[1::2]
+    k = int(np.argmax(lasts - firsts))
+    return float(edges[firsts[k]]), float(edges[lasts[k]])
 
 
 def band_columns(segments: list[dict], top: float, bottom: float) -> list[float]:
@@ -140,11 +148,14 @@ def band_columns(segments: list[dict], top: float, bottom: float) -> list[float]
 
 def row_of(y: float, rules: list[float]) -> int | None:
     """The row between two rules that holds y; one more row, a usual row's height, is open below the last rule."""
-    for k, (a, b) in enumerate(zip(rules, rules[1:], strict=False)):
-        if a <= y < b:
-            return k
-    usual = upper_median([b - a for a, b in zip(rules, rules[1:], strict=False)]) if len(rules) > 1 else 0
-    return len(rules) - 1 if usual > 0 and rules[-1] <= y <= rules[-1] + usual else None
+    edges = np.array(rules, "f8")
+    k = int(np.searchsorted(edges, y, "right")) - 1
+    if k < 0 or len(edges) < 2:
+        return None
+    if k < len(edges) - 1:
+        return k
+    usual = float(np.sort(np.diff(edges))[(len(edges) - 1) // 2])
+    return k if usual > 0 and y <= edges[-1] + usual else None
 
 
 def ruled(tokens: list[Token], rules: list[float], segments: list[dict]) -> tuple[list[dict], int, int]:
@@ -175,8 +186,23 @@ def ruled(tokens: list[Token], rules: list[float], segments: list[dict]) -> tupl
     return cells, max(len(rules) - 1, 1 + max(c["row"] for c in cells)), max(len(bands), 1 + max(c["col"] for c in cells))
 
 
-def regional(tokens: list[Token], regions: list[dict]) -> tuple[list[dict], int, int]:
-    """Tokens put into recognised cells (row, col, spans, box) by the share of their area; at least half must fit."""
+def regional(tokens: list[Token], regions: list[dict]) -> tuple[list[dict], int, int, float]:
+    """Tokens put into recognised cells (row, col, spans, box) by the share of their area; at least half must fit.
+
+    Of several tables (regions with different ``table``) the one that holds most tokens, the
+    first of equals. Returns cells, rows, columns and the share of tokens.
+    """
+    by_table: dict[int, list[dict]] = {}
+    for r in regions:
+        by_table.setdefault(r.get("table") or 0, []).append(r)
+    tried = [_regional(tokens, some) for some in by_table.values()] or [_regional(tokens, [])]
+    k = first_best([t[-1] for t in tried])
+    if tried[k][-1] < REGION_SHARE:
+        raise NoTable("too few tokens lie in the recognised cells")
+    return tried[k]
+
+
+def _regional(tokens: list[Token], regions: list[dict]) -> tuple[list[dict], int, int, float]:
     cells = [dict(r) for r in regions]
     held: list[list[Token]] = [[] for _ in cells]
     for t in tokens:
@@ -188,36 +214,36 @@ def regional(tokens: list[Token], regions: list[dict]) -> tuple[list[dict], int,
             shares.append(w * h / area if w > 0 and h > 0 and area > 0 else 0.0)
         if shares and shares[k := first_best(shares)] >= CELL_OVERLAP:
             held[k].append(t)
-    if not cells or sum(map(len, held)) < REGION_SHARE * len(tokens):
-        raise NoTable("too few tokens lie in the recognised cells")
+    if not cells or not tokens:
+        return [], 0, 0, 0.0
     out = [{**{k: c[k] for k in ("row", "col", "row_span", "col_span")}, "text": joined(ts)} for c, ts in zip(cells, held, strict=True)]
-    return out, max(c["row"] + c["row_span"] for c in out), max(c["col"] + c["col_span"] for c in out)
+    return out, max(c["row"] + c["row_span"] for c in out), max(c["col"] + c["col_span"] for c in out), sum(map(len, held)) / len(tokens)
 
 
 def build_page(tokens: list[Token], rules: list[float] | None, segments: list[dict] | None, regions: list[dict] | None) -> dict:
     """The table of one page by the first strategy that works: rules, recognised cells, clusters, raw text."""
     tokens = [t | {"text": (t["text"] or "").strip()} for t in tokens if (t["text"] or "").strip()]
     raw, warnings = joined(tokens, "\n"), []
-    steps: list[tuple[str, Callable[[], tuple[list[dict], int, int]]]] = []
+    steps: list[tuple[str, Callable[[], tuple]]] = []
     if rules is not None:
-        steps.append(("morphology", lambda: ruled(tokens, list(rules), list(segments or []))))
+        steps.append(("morphology", lambda: (*ruled(tokens, list(rules), list(segments or [])), RULED_CONFIDENCE)))
     if regions is not None:
         steps.append(("pp_structure", lambda: regional(tokens, list(regions))))
-    steps.append(("cluster", lambda: cluster(tokens)))
+    steps.append(("cluster", lambda: (*cluster(tokens, warnings), CLUSTER_CONFIDENCE)))
     for name, step in steps if tokens else []:
         try:
-            cells, rows, columns = step()
-            return {"cells": cells, "n_rows": rows, "n_cols": columns, "raw_text": raw, "strategy": name, "warnings": warnings}
+            cells, rows, columns, trust = step()
+            return {"cells": cells, "n_rows": rows, "n_cols": columns, "raw_text": raw, "strategy": name, "confidence": trust, "warnings": warnings}
         except NoTable as why:
             warnings.append(f"{name}: {why}")
     warnings.append("no table: the text is searched as a whole")
-    return {"cells": [], "n_rows": 0, "n_cols": 0, "raw_text": raw, "strategy": "raw_text", "warnings": warnings}
+    return {"cells": [], "n_rows": 0, "n_cols": 0, "raw_text": raw, "strategy": "raw_text", "confidence": 0.0, "warnings": warnings}
 
 
 def pack_tokens(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys and tokens: each page's tokens as one array in the order of tok, boxes normalised."""
     low, high = (lambda a, b: F.least(a, b).cast("double")), (lambda a, b: F.greatest(a, b).cast("double"))
-    token = F.struct(F.col("tok").cast("long").alias("tok"), "text", low("x1", "x2").alias("x1"), low("y1", "y2").alias("y1"), high("x1", "x2").alias("x2"), high("y1", "y2").alias("y2"))
+    token = F.struct(F.col("tok").cast("long").alias("tok"), "text", low("x1", "x2").alias("x1"), low("y1", "y2").alias("y1"), high("x1", "x2").alias("x2"), high("y1", "y2").alias("y2"), (F.col("confidence").cast("double") if "confidence" in df.columns else F.lit(1.0)).alias("confidence"))
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
 
 
@@ -229,6 +255,11 @@ def build(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), grids: DataFrame |
     )
     pages = pages.join(grids.select(*keys, "rules", "segments"), list(keys), "left") if grids is not None else pages.withColumns({"rules": rules, "segments": segments})
     pages = pages.join(regions.select(*keys, "regions"), list(keys), "left") if regions is not None else pages.withColumn("regions", cells)
+    return build_packed(pages, keys)
+
+
+def build_packed(pages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys and TABLE of rows that hold a page's tokens, rules, segments and regions; nothing is shuffled."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + TABLE
 
@@ -236,10 +267,10 @@ def build(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), grids: DataFrame |
         plain = lambda x: None if x is None else [dict(v) if isinstance(v, dict) else v.asDict() if hasattr(v, "asDict") else v for v in x]
         for pdf in batches:
             built = [build_page(plain(t) or [], plain(r), plain(s), plain(g)) for t, r, s, g in zip(pdf["tokens"], pdf["rules"], pdf["segments"], pdf["regions"], strict=True)]
-            out = pd.DataFrame(built, columns=[c.split()[0] for c in ("cells", "n_rows", "n_cols", "raw_text", "strategy", "warnings")])
+            out = pd.DataFrame(built, columns=[c.split()[0] for c in ("cells", "n_rows", "n_cols", "raw_text", "strategy", "confidence", "warnings")])
             for k in keys:
                 out[k] = pdf[k].to_numpy()
-            yield out[[*keys, "cells", "n_rows", "n_cols", "raw_text", "strategy", "warnings"]]
+            yield out[[*keys, "cells", "n_rows", "n_cols", "raw_text", "strategy", "confidence", "warnings"]]
 
     return pages.mapInPandas(run, schema)
 
@@ -250,16 +281,23 @@ def lines_of(df: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return built.select(*keys, F.posexplode(F.filter(F.split("raw_text", "\n"), lambda x: x != "")).alias("ln", "text"))
 
 
+def mean_confidence(tokens: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, n_tokens, mean_conf of the tokens that hold text; 0 tokens and 0.0 where none does. One aggregation, combined before its shuffle."""
+    real = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)))
+    return tokens.groupBy(*keys).agg(F.count(real).alias("n_tokens"), F.coalesce(F.avg(real), F.lit(0.0)).alias("mean_conf"))
+
+
 def column_bands(df: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, band, start, end by windows alone: gaps and islands over the tokens' x extents."""
-    from pyspark.sql import Window as W
+    """keys, band, start, end by windows alone: gaps and islands over the tokens' x extents.
 
+    All windows share one partitioning by page; none holds a page as an array.
+    """
     page = W.partitionBy(*keys)
     df = df.select(*keys, F.least("x1", "x2").cast("double").alias("x1"), F.greatest("x1", "x2").cast("double").alias("x2"), F.abs(F.col("y2") - F.col("y1")).cast("double").alias("h"))
     span = F.greatest(F.lit(1.0), F.max("x2").over(page) - F.min("x1").over(page))
     df = df.withColumn("narrow", (F.col("x2") - F.col("x1")) <= WIDE * span).withColumn("any", F.max("narrow").over(page)).where("narrow OR NOT any")
-    heights = F.array_sort(F.collect_list("h").over(page))
-    df = df.withColumn("gap", F.greatest(F.lit(6.0), 0.9 * F.get(heights, F.floor(F.size(heights) / 2).cast("int"))))
+    middle = F.when(F.row_number().over(page.orderBy("h")) - 1 == F.floor(F.count(F.lit(1)).over(page) / 2), F.col("h"))
+    df = df.withColumn("middle", middle).withColumn("gap", F.greatest(F.lit(6.0), 0.9 * F.max("middle").over(page)))
     order = page.orderBy("x1", "x2")
     reach = F.max("x2").over(order.rowsBetween(W.unboundedPreceding, -1))
     df = df.withColumn("fresh", F.when(F.col("x1") <= reach + F.col("gap"), 0).otherwise(1))

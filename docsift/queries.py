@@ -15,7 +15,7 @@ from docsift.functions.match import match_texts
 from docsift.operators import html_table, tables
 from docsift.operators.pages import best_run
 from docsift.plans import resolve as R
-from docsift.plans.schema import load_schema
+from docsift.plans.schema import Schema, load_schema, schema_of
 from docsift.sources.readers import cells_of_rows, page_selection, tokens_of_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,14 +162,15 @@ def attempt_select(spark, sf):
     return card_columns(Extractor().from_pages(cards, keys=("c_custkey",), attempt="attempt"))
 
 
-@query("""SELECT c_custkey, n, found, CASE WHEN found = 0 THEN 0 ELSE 1 END AS any_found FROM
-  (SELECT c_custkey, 11 AS n, CAST(6 AS INT) AS found FROM customer)""")
+@query("""SELECT c_custkey, 11 AS n, CAST(c_custkey % 7 AS INT) AS found, CAST(CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 0.97 END AS DOUBLE) AS mean_score FROM customer""")
 def page_score(spark, sf):
+    """Cards of 0 to 6 lines; a line begins with its label, so each scores 0.97."""
     from docsift.operators.pages import page_score as score
 
-    cards = table(spark, sf, "customer").select("c_custkey", F.concat_ws("\n", *card_lines()).alias("text"))
+    lines = F.slice(F.array(*card_lines()), F.lit(1), (F.col("c_custkey") % 7).cast("int"))
+    cards = table(spark, sf, "customer").select("c_custkey", F.concat_ws("\n", lines, F.lit("hết")).alias("text"))
     found = Extractor().from_text(cards, keys=("c_custkey",)).select("c_custkey", F.size("fields").alias("n"), score().alias("s"))
-    return found.select("c_custkey", "n", F.col("s.found").alias("found"), F.when(F.col("s.mean") > 0.8, 1).otherwise(0).alias("any_found"))
+    return found.select("c_custkey", "n", F.col("s.found").alias("found"), F.round("s.mean", 9).alias("mean_score"))
 
 
 PART_SQL = "SELECT p_partkey, upper('P' || p_partkey || 'X') AS package, CAST(round(p_retailprice, 2) AS DOUBLE) AS fee, CAST(p_size AS BIGINT) AS sms FROM part"
@@ -350,12 +351,49 @@ def best_psm(spark, sf):
     return best_run(runs, ("p_partkey",)).select("p_partkey", "psm", "n_tokens")
 
 
-@query("""SELECT c_custkey, '{"packageCode": "' || upper('pkg' || c_custkey) || '", "sms": ' || c_custkey % 500 || ', "cycle": null}' AS json FROM customer""")
+@query("""SELECT c_custkey, '{"packageCode": "' || upper('pkg' || c_custkey) || '", "registerFee": ' || CAST(10000000 + (c_custkey * 1000003) % 90000000 AS BIGINT) || '.5, "sms": ' || c_custkey % 500 || ', "cycle": null}' AS json FROM customer""")
 def json_output(spark, sf):
-    from docsift.plans.schema import Schema
-
+    """Fees are beyond 1e7, where a double's own text has an exponent."""
     whole = load_schema()
-    schema = Schema(tuple(f for f in whole.fields if f.name in ("packageCode", "sms", "cycle")), whole.settings)
-    cards = table(spark, sf, "customer").select("c_custkey", F.concat_ws("\n", card_lines()[0], card_lines()[2], F.lit("hết")).alias("text"))
+    schema = Schema(tuple(f for f in whole.fields if f.name in ("packageCode", "registerFee", "sms", "cycle")), whole.settings)
+    fee = (F.lit(10000000) + (F.col("c_custkey").cast("long") * 1000003) % 90000000).cast("double") + 0.5
+    lines = [card_lines()[0], text_of("Cước đăng ký ", F.format_number(fee, 1)), card_lines()[2], F.lit("hết")]
+    cards = table(spark, sf, "customer").select("c_custkey", F.concat_ws("\n", *lines).alias("text"))
     extractor = Extractor(schema)
     return extractor.json(extractor.from_text(cards, keys=("c_custkey",)), "c_custkey")
+
+
+@query("""SELECT p_partkey, reverse(upper(p_brand)) AS code, CAST(p_size * 2 AS BIGINT) AS twice, 'text_line' AS source FROM part""")
+def python_parser(spark, sf):
+    """Fields whose parsers are Python callables: they read all candidates of a document in Arrow batches."""
+    P.register_python("backwards", lambda text, upper=False: (text.upper() if upper else text)[::-1])
+    P.register_python("twice", lambda text: 2 * int(text))
+    try:
+        fields = [{"name": "code", "parser": "backwards", "parser_args": {"upper": True}, "aliases": ["brand of"]}, {"name": "twice", "type": "int", "parser": "twice", "regex": ["size is\\s(\\d+)"]}]
+        schema = schema_of({"fields": fields})
+        cards = table(spark, sf, "part").select("p_partkey", text_of("Brand of: ", F.col("p_brand")).alias("text"), text_of("the size is ", F.col("p_size")).alias("more"))
+        records = Extractor(schema).from_text(cards.select("p_partkey", "text"), keys=("p_partkey",))
+        sizes = Extractor(schema).from_text(cards.select("p_partkey", F.col("more").alias("text")), keys=("p_partkey",))
+    finally:
+        P.unregister("backwards")
+        P.unregister("twice")
+    one = R.wide(records, schema, "p_partkey", "fields").select("p_partkey", "code", F.get("fields", F.lit(0))["source"].alias("source"))
+    return one.join(R.wide(sizes, schema, "p_partkey").select("p_partkey", "twice"), "p_partkey").select("p_partkey", "code", "twice", "source")
+
+
+@query("""SELECT p_size AS page, CAST(count(*) FILTER (p_partkey % 5 <> 0) AS BIGINT) AS n_tokens,
+  coalesce(round(avg(CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 100) / 100.0 END), 9), 0.0) AS mean_conf FROM part GROUP BY p_size""")
+def mean_confidence(spark, sf):
+    """Blank tokens don't count."""
+    tokens = table(spark, sf, "part").select(F.col("p_size").alias("page"), F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.col("p_name")).alias("text"), ((F.col("p_partkey") % 100) / 100.0).alias("confidence"))
+    return tables.mean_confidence(tokens, ("page",)).select("page", "n_tokens", F.round("mean_conf", 9).alias("mean_conf"))
+
+
+@query("""SELECT p_partkey, p_name || '|b' AS row_0, p_name || '|c' AS row_1, 'b|c' AS col_1 FROM part""")
+def table_lines(spark, sf):
+    """Rows and columns of a table whose first cell covers two rows."""
+    part = lambda r, c, s, t: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(s).alias("row_span"), F.lit(1).alias("col_span"), t.alias("text"))
+    cells = F.array(part(1, 1, 1, F.lit("c")), part(0, 0, 2, F.col("p_name")), part(0, 1, 1, F.lit("b")))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: x["text"]), "|")
+    df = table(spark, sf, "part").select("p_partkey", cells.alias("cells"))
+    return df.select("p_partkey", shown(html_table.row_cells(F.col("cells"), 0)).alias("row_0"), shown(html_table.row_cells(F.col("cells"), 1)).alias("row_1"), shown(html_table.column_cells(F.col("cells"), 1)).alias("col_1"))
