@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docsift.llm.components import connected_components
 from docsift.llm.shared import drop_table, materialize, release
-from docsift.llm.shingles import shingle_sets, signature
+from docsift.llm.shingles import buffers, shingle_sets, signature
 from docsift.llm.tokens import encoder, slices
 
 #: Similar: 100 * intersection >= PERCENT * union.
@@ -28,6 +28,10 @@ GROUP_BYTES, BUCKET_BYTES = 2 << 20, 12 << 20
 USUAL_BYTES, MOST_TIMES = 64 << 30, 8
 #: Documents and shingles of one block of a family.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Bytes of a Parquet row group of tables with texts or sets: what a task holds of them at once.
+ROWS_BYTES = 8 << 20
+#: Tokens that a block pair or a counting bucket sorts at once; more are dealt into parts by their lower bits.
+PART_TOKENS = 1 << 18
 #: Frequencies are exact up to here, then in eighths of a doubling.
 EXACT = 127
 SET_SCHEMA = "doc_id long, n long, sig binary, matches int, prefix array<long>, classes array<int>, shingles binary"
@@ -107,7 +111,7 @@ def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
             yield pack()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(narrow.mapInArrow(run, "g long, bytes long, doc_id array<long>, text array<string>"), "jaccard-groups")
+    return materialize(narrow.mapInArrow(run, "g long, bytes long, doc_id array<long>, text array<string>"), "jaccard-groups", block_rows=max(1, ROWS_BYTES // group_bytes))
 
 
 def _keys(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -115,6 +119,13 @@ def _keys(shingles: np.ndarray, bits: int) -> np.ndarray:
     return shingles >> np.uint64(32 - bits)
 
 
+def parts_of(tokens: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the tokens, in parts of about PART_TOKENS; equal tokens are in one part."""
+    parts = 1 << max(0, math.ceil(math.log2(max(1, len(tokens)) / PART_TOKENS)))
+    for k in range(parts):
+        yield np.flatnonzero((tokens & tokens.dtype.type(parts - 1)) == k) if parts > 1 else np.arange(len(tokens))
+
+
 def count_tokens(groups: DataFrame, bits: int) -> DataFrame:
     """(g, bucket, classes): for each group, the frequency classes of its distinct tokens in ascending order.
 
@@ -134,13 +145,14 @@ def count_tokens(groups: DataFrame, bits: int) -> DataFrame:
                     yield pa.record_batch([pa.array([g] * len(rows)), pa.array(buckets, pa.int32()), pa.array(ids), pa.array(sizes)], names=["g", "bucket", "prints", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
-        prints = [np.frombuffer(x, "<u4") for x in table.column("prints").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u2") for x in table.column("counts").to_pylist()])
-        _, inverse = np.unique(np.concatenate(prints), return_inverse=True)
-        df = np.bincount(inverse, weights=counts)
-        flags = frequency_class(df)[inverse]
-        parts = np.split(flags, np.cumsum([len(p) for p in prints])[:-1])
-        return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "classes": pa.array([p.tobytes() for p in parts], pa.binary())})
+        prints, bounds = buffers(table.column("prints"))
+        prints, counts = prints.view("<u4"), buffers(table.column("counts"))[0].view("<u2")
+        flags = np.empty(len(prints), "u1")
+        for at in parts_of(prints):
+            _, inverse = np.unique(prints[at], return_inverse=True)
+            flags[at] = frequency_class(np.bincount(inverse, weights=counts[at]))[inverse]
+        classes = pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer((bounds // 4).astype("i4")), pa.py_buffer(flags)])
+        return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "classes": classes})
 
     counted = groups.select("g", "text").mapInArrow(local, "g long, bucket int, prints binary, counts binary")
     return counted.groupBy("bucket").applyInArrow(total, "g long, bucket int, classes binary")
@@ -242,8 +254,8 @@ def family_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
         ids = table.column("doc_id").to_numpy()
         side = table.column("block").to_numpy()
         low, high = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        prefixes = [np.array(p, "i8") for p in table.column("prefix").to_pylist()]
-        sets_ = [np.frombuffer(s, "i8") for s in table.column("shingles").to_pylist()]
+        prefixes = [p.values.to_numpy() for p in table.column("prefix")]
+        sets_ = [np.frombuffer(s.as_buffer(), "i8") for s in table.column("shingles")]
         asked, n = table.column("matches").to_numpy(), table.column("n").to_numpy()
         rows, columns = np.flatnonzero(side == low), np.flatnonzero(side == high)
         common = overlap(prefixes, rows, columns)
@@ -269,26 +281,31 @@ def family_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def overlap(sets_: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of two lists of different sets, by products of membership matrices, a range of tokens at a time."""
+    """Sizes of the intersections of two lists of different sets, by products of membership matrices.
+
+    Tokens are taken in parts and these in ranges of ``width``, so only the result grows with more than the sets.
+    """
     used = np.unique(np.concatenate([rows, columns]))
     flat = np.concatenate([sets_[i] for i in used])
-    owner = np.repeat(used, [len(sets_[i]) for i in used])
-    _, codes, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    owner, codes = owner[counts[codes] > 1], codes[counts[codes] > 1]
-    _, codes = np.unique(codes, return_inverse=True)
-    order = np.argsort(codes, kind="stable")
-    owner, codes = owner[order], codes[order]
+    owner = np.repeat(used.astype("i4"), [len(sets_[i]) for i in used])
     at_row, at_column = np.full(len(sets_), -1), np.full(len(sets_), -1)
     at_row[rows], at_column[columns] = np.arange(len(rows)), np.arange(len(columns))
-    out = np.zeros((len(rows), len(columns)), "f4")
-    for first in range(0, int(codes.max(initial=-1)) + 1, width):
-        a, b = np.searchsorted(codes, [first, first + width])
-        left, right = np.zeros((len(rows), width), "f4"), np.zeros((len(columns), width), "f4")
-        for matrix, place in ((left, at_row), (right, at_column)):
-            at = place[owner[a:b]]
-            matrix[at[at >= 0], codes[a:b][at >= 0] - first] = 1
-        out += left @ right.T
-    return out.astype("i8")
+    out = np.zeros((len(rows), len(columns)), "i8")
+    for part in parts_of(flat):
+        _, codes, counts = np.unique(flat[part], return_inverse=True, return_counts=True)
+        shared = counts[codes] > 1
+        codes, who = (np.cumsum(counts > 1) - 1)[codes[shared]], owner[part[shared]]
+        order = np.argsort(codes, kind="stable")
+        codes, who = codes[order], who[order]
+        top = int(codes.max(initial=-1)) + 1
+        for first in range(0, top, width):
+            a, b = np.searchsorted(codes, [first, first + width])
+            left, right = (np.zeros((k, min(width, top - first)), "f4") for k in out.shape)
+            for matrix, place in ((left, at_row), (right, at_column)):
+                at = place[who[a:b]]
+                matrix[at[at >= 0], codes[a:b][at >= 0] - first] = 1
+            out += (left @ right.T).astype("i8")
+    return out
 
 
 def forest(x: list[int], y: list[int]) -> list[tuple[int, int]]:
@@ -328,17 +345,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     group_bytes, bits = work_sizes(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     groups = grouped(docs, group_bytes)
-    sets = materialize(document_sets(groups, count_tokens(groups, bits), bits), "jaccard-sets")
+    sets = materialize(document_sets(groups, count_tokens(groups, bits), bits), "jaccard-sets", ROWS_BYTES)
     drop_table(groups)
     release(spark)
     named = sets.where("n > 0 AND doc_id IS NOT NULL")
     first = materialize(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "jaccard-first")
     copies = named.select("doc_id", "sig").join(first.where("rows > 1").select("sig", "rep"), "sig").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     able = named.where("matches IS NOT NULL").select("doc_id", "sig", "n", "matches", "prefix", "classes")
-    reps = materialize(able.join(first.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"]).dropDuplicates(["sig", "doc_id"]), "jaccard-reps")
+    reps = materialize(able.join(first.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"]).dropDuplicates(["sig", "doc_id"]), "jaccard-reps", ROWS_BYTES)
     stored = named.where("matches IS NOT NULL")
     if not named.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows: one of each set
-        stored = materialize(stored.dropDuplicates(["sig", "doc_id"]), "jaccard-stored")
+        stored = materialize(stored.dropDuplicates(["sig", "doc_id"]), "jaccard-stored", ROWS_BYTES)
     stored = stored.select("doc_id", "n", "matches", "prefix", "shingles")
     light = materialize(light_pairs(reps), "jaccard-pairs")
     links = verified(light, stored.select("doc_id", "shingles"))

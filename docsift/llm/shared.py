@@ -29,10 +29,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back, which cuts the lineage."""
+def materialize(df: DataFrame, name: str, block_bytes: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back, which cuts the lineage.
+
+    For tables with wide rows: Parquet looks at sizes only after 100 rows, and a reader holds up to
+    4,096 rows of a row group at once. With block_bytes (as compressed) or block_rows row groups end there.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if block_bytes or block_rows:
+        writer = writer.option("parquet.page.size.row.check.min", 1)
+    if block_bytes:
+        writer = writer.option("parquet.block.size", block_bytes)
+    if block_rows:
+        writer = writer.option("parquet.block.row.count.limit", block_rows)
+    writer.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._docsift_path = path
     return table

@@ -24,7 +24,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row, and each text's bounds; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -39,7 +39,7 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and each text's bounds among them."""
-    raw, bounds = _buffers(texts)
+    raw, bounds = buffers(texts)
     if not len(raw):
         return np.zeros(0, "u8"), np.zeros(len(bounds), "i8")
     data, ink = _LOWER[raw], ~_WHITE[raw]

@@ -1,8 +1,11 @@
+import glob
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -115,6 +118,36 @@ def test_slices_of_arrays_and_overlaps():
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[3 + j])) for i in range(5) for j in range(9) if i != 3 + j)
 
 
+def test_full_pair_of_blocks_takes_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**62), 2**62, 1000)
+    sets = [np.unique(np.concatenate([base[rng.random(1000) < 0.9], rng.integers(-(2**62), 2**62, 60)])) for _ in range(1600)]
+    rows, columns = np.arange(800), np.arange(800, 1600)
+    tracemalloc.start()
+    got = J.overlap(sets, rows, columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 << 20  # 1.5 million tokens: 12 MB, and 5 MB of result
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[800 + j])) for i, j in rng.integers(0, 800, (60, 2)))
+    monkeypatch.setattr(J, "PART_TOKENS", 64)
+    few = J.overlap(sets[:40], np.arange(20), np.arange(20, 40))
+    assert all(few[i, j] == len(np.intersect1d(sets[i], sets[20 + j])) for i in range(20) for j in range(20))
+
+
+def test_tables_of_texts_have_small_row_groups(spark):
+    text = " ".join(f"w{i}" for i in range(40_000))
+    groups = J.grouped(spark.createDataFrame([(i, text + str(i)) for i in range(80)], "doc_id long, text string").coalesce(1))
+    parts = [pq.ParquetFile(f).metadata for f in glob.glob(f"{groups._docsift_path.removeprefix('file://')}/*.parquet")]
+    held = [m.row_group(k).total_byte_size for m in parts for k in range(m.num_row_groups)]
+    assert sum(held) > 20 << 20 and max(held) < 13 << 20  # a reader may hold a whole row group
+    assert groups.selectExpr("sum(size(doc_id))").first()[0] == 80
+
+
+def test_frequencies_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(J, "PART_TOKENS", 32)
+    check(spark, corpus(8, 12, 14))
+
+
 def test_matches_and_classes():
     df = np.array([1, 2, 127, 128, 200, 5000, 10**7])
     classes = J.frequency_class(df)
